@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import decontamination, line_dedup, quality_classifier, quality_rules, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_quality_classifier": quality_classifier.op3_quality_classifier,
+    "op4_decontamination": decontamination.op4_decontamination,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_decontamination": decontamination.ORACLE_SQL,
+    "op6_line_dedup": line_dedup.ORACLE_SQL,
 }

@@ -70,9 +70,9 @@ def _prefix(values: np.ndarray) -> np.ndarray:
 class TextBlock:
     """Some whole texts: ``buf`` holds their bytes end to end, ``offs`` where each begins, then the end."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray):
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, word_bytes: np.ndarray = _IS_WORD):
         self.buf, self.offs, self.n = buf, offs, len(offs) - 1
-        m = _IS_WORD[buf]
+        m = word_bytes[buf]
         first, last = m.copy(), m.copy()
         if len(m):
             first[1:] &= ~m[:-1]
@@ -173,12 +173,12 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, TextBlock]]:
+def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES, word_bytes: np.ndarray = _IS_WORD) -> Iterator[tuple[pa.RecordBatch, TextBlock]]:
     """Cut batches into runs of rows whose texts have ``most`` bytes or fewer together; a longer text stands alone."""
     for batch in batches:
         buf, offs = bytes_of(column(batch, text))
         i = 0
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, side="right")) - 1)
-            yield batch.slice(i, j - i), TextBlock(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            yield batch.slice(i, j - i), TextBlock(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], word_bytes)
             i = j
