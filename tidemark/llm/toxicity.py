@@ -162,7 +162,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, t in blocks(batches, "text", word_bytes=_TERM):
             z = machine.margin(*block_terms(t)).astype(float)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array((1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
