@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity
+from . import bpe, decontamination, line_dedup, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op9_warc": warc.op9_warc,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
