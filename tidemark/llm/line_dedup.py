@@ -58,7 +58,7 @@ def drop_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source"
     kept = F.filter(lines, lambda x: ~(F.array_contains("_td_bad", F.xxhash64(x)) & x.rlike(_HAS_WORD)))
     has = F.col("_td_bad").isNotNull() & F.col(text_col).isNotNull()
     return joined.withColumn("_td_lines", F.when(has, kept)).select(
-        *(docs[c] for c in docs.columns),
+        *(docs[f"`{c}`"] for c in docs.columns),
         F.when(has, F.array_join("_td_lines", "\n")).otherwise(F.col(text_col)).alias("_td_kept"),
         F.when(has, F.size(lines) - F.size("_td_lines")).otherwise(0).cast("long").alias("_td_dropped"),
     )
@@ -70,7 +70,7 @@ def line_dedup(docs: DataFrame, text_col: str = "text", host_col: str = "source"
     new = {text_col: F.col("_td_kept")}
     if chars_col:
         new[chars_col] = F.when(F.col("_td_dropped") > 0, F.length("_td_kept").cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
-    return cleaned.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return cleaned.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

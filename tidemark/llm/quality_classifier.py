@@ -12,7 +12,8 @@ Defined results: null and empty texts have statistics of 0 and get a score as
 any other; rows with a repeated id are scored row by row; a null id is never
 held out, carried as null and never learnt from; labels that are null don't
 count; without labels of both kinds the score is the smoothed share of label 1;
-an empty table gives an empty result.  Only id and text are read.
+an empty table gives an empty result.  Only id and text are read, and other
+columns are carried; names that begin with ``_td_`` are reserved.
 """
 
 from __future__ import annotations
@@ -63,18 +64,18 @@ def block_stats(t) -> list[np.ndarray]:
     ]
 
 
-def statistics(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """``rows`` with its text replaced by the statistics, in columns ``stat_*``."""
+def statistics(rows: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """``rows`` with the statistics in columns ``_td_*`` after its own, of which the text goes unless it is to stay."""
     bound_batches(rows.sparkSession)
-    rest = [c for c in rows.columns if c != text_col]
-    names = [*rest, *(f"stat_{s}" for s in STATS)]
+    rest = [c for c in rows.columns if keep_text or c != text_col]
+    names = [*rest, *(f"_td_{s}" for s in STATS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t in blocks(batches, text_col):
             yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in rest), *(pa.array(x, pa.float64()) for x in block_stats(t))], names)
 
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in rest] + [f"stat_{s} double" for s in STATS]))
+    return rows.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in rest] + [f"_td_{s} double" for s in STATS]))
 
 
 Condition = tuple[int, bool, float]  # statistic, whether it must be over the threshold, threshold
@@ -92,7 +93,7 @@ class RuleModel:
         for rule, weight in zip(self.rules, self.weights, strict=True):
             holds = F.lit(True)
             for stat, over, at in rule:
-                c = F.col(f"stat_{STATS[stat]}")
+                c = F.col(f"_td_{STATS[stat]}")
                 holds = holds & ((c > at) if over else (c <= at))
             z = z + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-z))
@@ -198,9 +199,7 @@ def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: s
 
 def keep_good(docs: DataFrame, model: RuleModel, text_col: str = "text", at_least: float = 0.5) -> DataFrame:
     """The documents that score ``at_least`` that, with all their columns."""
-    copy = "_td_text"
-    scored = statistics(docs.withColumn(copy, F.col(text_col)), copy)
-    return scored.where(model.column() >= at_least).select(*docs.columns)
+    return statistics(docs, text_col, keep_text=True).where(model.column() >= at_least).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

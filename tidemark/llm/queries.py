@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity, warc
+from . import bpe, decontamination, line_dedup, near_dedup, quality_classifier, quality_rules, secrets, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_bpe": bpe.op7_bpe,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_warc": warc.op9_warc,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
