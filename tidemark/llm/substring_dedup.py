@@ -43,9 +43,11 @@ from .textblock import TextBlock, U, blocks, bytes_of
 
 WINDOW, PHRASE = 13, 5
 CHUNK_BYTES, MIN_CHUNKS = 8 << 20, 32
-SHARD_PHRASES = 50_000
+SHARD_PHRASES = 30_000
 _LAST = np.iinfo(np.int64).max
-_CODES = 0x110000 - 0x800
+#: A word's code has three letters: the first from one alphabet, so that a match begins at a word, the others from another.
+#: Small alphabets, because the automaton searches a node's letters one after another.
+LETTERS = 128
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -116,21 +118,20 @@ def locate(words: np.ndarray, offs: np.ndarray, at: np.ndarray, confirmed: np.nd
     _, first = np.unique(low, return_index=True)
     anchor = np.sort(anchor[first])
     _, code = np.unique(words, return_inverse=True)
-    code = code % _CODES
-    code[code >= 0xD800] += 0x800
-    text = code.astype("<u4").tobytes().decode("utf-32-le")
-    bounds = offs.tolist()
+    letters = np.stack([0x100 + code // LETTERS**2 % LETTERS, 0x200 + code // LETTERS % LETTERS, 0x200 + code % LETTERS], 1)
+    text = letters.astype("<u2").tobytes().decode("utf-16-le")
+    bounds = (3 * offs).tolist()
     places = []
     for lo in range(0, len(anchor), SHARD_PHRASES):
         machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for a in anchor[lo : lo + SHARD_PHRASES].tolist():
-            machine.add_word(text[a : a + PHRASE])
+            machine.add_word(text[3 * a : 3 * (a + PHRASE)])
         machine.make_automaton()
         for a, b in zip(bounds, bounds[1:]):
-            if b - a >= WINDOW:
-                places += [end for end, _ in machine.iter(text, a, b)]
+            if b - a >= 3 * WINDOW:
+                places += [a + end for end, _ in machine.iter(text[a:b])]
     near = np.zeros(len(words) + 1, np.int32)
-    place = np.array(places, np.int64) - PHRASE + 1
+    place = np.array(places, np.int64) // 3 - PHRASE + 1
     np.add.at(near, np.maximum(place - (WINDOW - PHRASE), 0), 1)
     np.add.at(near, place + 1, -1)
     return confirmed & (np.cumsum(near)[at] > 0)
