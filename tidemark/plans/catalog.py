@@ -1,8 +1,15 @@
 """Registry of the analytics queries."""
 
+from __future__ import annotations
+
+from . import audience
+
+_PLANS = (audience,)
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _plan in _PLANS:
+    QUERIES |= _plan.QUERIES
+    ORACLES |= _plan.ORACLES
 
-
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").count()
+flagship = audience.flagship
