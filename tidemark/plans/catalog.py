@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audience
+from . import audience, relational
 
-_PLANS = (audience,)
+_PLANS = (audience, relational)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
