@@ -190,7 +190,8 @@ def links(docs: DataFrame, members: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")
     own = F.when(F.col("rep") == F.col("grp"), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array(block))
     dealt = materialize(dealt.select("grp", "rep", "n_blocks", block.alias("home"), own.alias("blocks")), "dealt")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
+    # always dealt out by id: a plan that broadcast few groups and shuffled for many would cost several times more from some size on
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").hint("merge")
     first = dealt.select("grp", "rep", F.explode("blocks").alias("block")).join(texts, "rep").groupBy("grp", "block").applyInArrow(link_block, "a long, b long")
     first = materialize(first, "links")
     large = dealt.where("n_blocks > 1")
@@ -233,7 +234,7 @@ def _same_id(signed: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, that with the smallest id, with all its columns; of rows that repeat its id, all."""
-    verdicts = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_td_id")).distinct()
+    verdicts = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_td_id")).distinct().hint("merge")
     return docs.join(verdicts, docs[id_col].cast("long") == verdicts["_td_id"], "left_anti")
 
 
