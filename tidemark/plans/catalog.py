@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audience, relational
+from . import analytics, audience, relational
 
-_PLANS = (audience, relational)
+_PLANS = (audience, relational, analytics)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
