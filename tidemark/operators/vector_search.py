@@ -53,7 +53,8 @@ def segment_list(segments: DataFrame, key: str, column: str) -> Column:
     rows = segments.select(F.col(key).cast("string"), doubles(F.col(column))).limit(MOST_SEGMENTS + 1).collect()
     if len(rows) > MOST_SEGMENTS:
         raise ValueError(f"more than {MOST_SEGMENTS} segments; join users and segments in blocks instead")
-    return F.array(*(F.struct(F.lit(r[0]).alias("id"), literal(r[1]).alias("v")) for r in sorted(rows)))
+    found = F.array(*(F.struct(F.lit(r[0]).alias("id"), literal(r[1]).alias("v")) for r in sorted(rows)))
+    return found if rows else found.cast("array<struct<id:string,v:array<double>>>")
 
 
 def nearest_segments(users: DataFrame, segments: DataFrame, k: int, key: str = "segment_id", segment_column: str = "centroid", column: str = "embedding") -> DataFrame:
