@@ -95,7 +95,8 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def prefix_postings(classes: DataFrame) -> DataFrame:
     """posting, rep: of every class the rarest postings that it shares with others, as many as the prefix has room for."""
     posts = classes.select("rep", F.posexplode("signature").alias("at", "value")).select("rep", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long")).alias("posting"))
-    often = posts.groupBy("posting").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written first: a join straight on an aggregation can't split a value that very many classes have
+    often = materialize(posts.groupBy("posting").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     shared = posts.join(often, "posting").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "posting"))).alias("own"))
     room = F.lit(PREFIX - COORDINATES) + F.size("own")  # what the class's postings of its own don't take
     return shared.where(room > 0).select("rep", F.explode(F.slice("own", 1, room)).alias("p")).select("rep", F.col("p.posting").alias("posting"))
@@ -184,27 +185,28 @@ def link_rest(table: pa.Table) -> pa.Table:
 
 def links(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Edges (a, b) between classes that meet in a group; ``members`` has grp and rep."""
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = materialize(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     n_blocks = F.ceil(F.col("n") / GROUP).cast("int")
     dealt = members.join(sizes, "grp").withColumn("n_blocks", n_blocks)
     block = F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")
     own = F.when(F.col("rep") == F.col("grp"), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array(block))
-    dealt = materialize(dealt.select("grp", "rep", "n_blocks", block.alias("home"), own.alias("blocks")), "dealt")
     # always dealt out by id: a plan that broadcast few groups and shuffled for many would cost several times more from some size on
     texts = docs.select(F.col("doc_id").alias("rep"), "text").hint("merge")
-    first = dealt.select("grp", "rep", F.explode("blocks").alias("block")).join(texts, "rep").groupBy("grp", "block").applyInArrow(link_block, "a long, b long")
+    dealt = dealt.select("grp", "rep", "n_blocks", block.alias("home"), own.alias("blocks")).join(texts, "rep")
+    dealt = materialize(dealt, "dealt")  # the texts of all groups; the corpus isn't shuffled again
+    first = dealt.select("grp", "rep", "text", F.explode("blocks").alias("block")).groupBy("grp", "block").applyInArrow(link_block, "a long, b long")
     first = materialize(first, "links")
-    large = dealt.where("n_blocks > 1")
+    large = dealt.where("n_blocks > 1").select("grp", "rep", "n_blocks", "home", "text")
     if large.limit(1).count() == 0:
         return first
     known = components(first).withColumnRenamed("node", "rep")
-    large = materialize(large.join(known, "rep", "left").select("grp", "rep", "n_blocks", "home", F.coalesce("component", "rep").alias("component")), "large")
+    large = materialize(large.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "large")
     main = large.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    rest = large.join(main, "grp").where("component <> main").drop("main")
-    rest_blocks = rest.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("rest_blocks"))
-    rest = rest.join(rest_blocks, "grp").select("grp", "rep", "component", F.pmod(F.xxhash64("rep", F.lit(1)), "rest_blocks").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), F.lit(True).alias("rest"))
-    whole = large.join(rest_blocks, "grp").select("grp", "rep", "component", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("part"), F.col("home").alias("block"), F.lit(False).alias("rest"))
-    second = rest.unionAll(whole).join(texts, "rep").groupBy("grp", "part", "block").applyInArrow(link_rest, "a long, b long")
+    rest = materialize(large.join(materialize(main, "main"), "grp").where("component <> main").drop("main"), "rest")
+    rest_blocks = materialize(rest.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("rest_blocks")), "rest-blocks")
+    rest = rest.join(rest_blocks, "grp").select("grp", "rep", "text", "component", F.pmod(F.xxhash64("rep", F.lit(1)), "rest_blocks").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), F.lit(True).alias("rest"))
+    whole = large.join(rest_blocks, "grp").select("grp", "rep", "text", "component", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("part"), F.col("home").alias("block"), F.lit(False).alias("rest"))
+    second = rest.unionAll(whole).groupBy("grp", "part", "block").applyInArrow(link_rest, "a long, b long")
     return first.unionAll(materialize(second, "links"))
 
 
@@ -217,6 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(classes, "classes")
     posts = materialize(prefix_postings(classes.select("rep", "signature")), "postings")
     heads = posts.groupBy("posting").agg(F.min("rep").alias("grp"), F.count(F.lit(1)).alias("n")).where("n > 1").select("posting", "grp")
+    heads = materialize(heads, "heads")
     members = materialize(posts.join(heads, "posting").select("grp", "rep").distinct(), "members")
     found = components(links(docs, members).unionAll(_same_id(signed, classes, key)))
     classes = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))

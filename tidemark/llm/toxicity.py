@@ -42,6 +42,8 @@ FACTORS = 8
 #: The z score at which a term has its full value, and the least value of any.
 FULL_SCORE, LEAST_VALUE = 6.0, 0.01
 EPOCHS, BATCH, RATE, L2, L2_FACTORS = 8, 128, 0.1, 2e-3, 2e-2
+#: Small training sets get more epochs, for so many steps.
+MIN_STEPS = 600
 
 _TERM = np.zeros(256, bool)
 _TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -116,7 +118,7 @@ def fit(texts: list[np.ndarray], y: np.ndarray) -> Machine:
     place = [p[p >= 0] for p in (m.lookup()[t] for t in texts)]
     w, v, b = m.linear, m.factors, base
     gw, gv, gb = np.full(len(w), 1e-6, np.float32), np.full(v.shape, 1e-6, np.float32), 1e-6
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-MIN_STEPS * BATCH // len(y)))):
         order = rng.permutation(len(y))
         for lo in range(0, len(y), BATCH):
             rows = order[lo : lo + BATCH]
