@@ -1,0 +1,390 @@
+"""Every operator against a brute-force form, on the sample documents and on awkward ones."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, decontamination, line_dedup, near_dedup, quality_classifier, quality_rules, queries, secrets, substring_dedup, toxicity, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = " ".join(f"w{i % 700}x{i // 700}" for i in range(60_000))
+PASSAGE = " ".join(f"passage{i}" for i in range(40))
+ITEM = " ".join(f"item{i}" for i in range(30))
+
+#: doc_id, text, source
+AWKWARD = [
+    (1, None, "h1"), (2, "", "h1"), (3, " \t\n\x0b ", None), (4, "one two", "h1"), (5, "one two", "h2"), (6, LONG, "h1"), (7, "start " + LONG + " end", "h2"),
+    (8, "a b c a b c a b c", "h1"), (8, "a b c a b c a b c", "h1"), (9, f"x y {PASSAGE} z", "h1"), (10, f"{PASSAGE} and more {PASSAGE}", "h2"), (11, f"head {ITEM} tail", "h2"),
+    (12, "ONE Two", "h1"), (None, "one two", "h1"), (None, f"q {PASSAGE}", None), (13, "café 中文 😀 naïve " * 5, "h3"), (14, "same line\nsame line\n\nother", "h1"), (15, "token=abcdef123 \r\n AKIA" + "A1" * 9, "h1"),
+    (16, " ".join(f"item{i}" for i in range(28)) + " changed end", "h1"), (17, "x" * 5000, "h2"), (18, "<|endoftext|> a<|endoftext|>b", "h1"),
+]
+#: Columns whose names operators use inside.
+CLASHING = ["n_words", "kept", "chunk", "bucket", "words", "host", "grp", "rep", "signature", "score", "spans", "base", "n_shingles", "component"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    own = spark.createDataFrame(AWKWARD, "doc_id long, text string, source string")
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text", "source")
+    both = own.unionAll(given)
+    for c in CLASHING:
+        both = both.withColumn(c, F.lit("clash"))
+    return both.persist()
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r["doc_id"], r["text"] or "", r["source"]) for r in docs.select("doc_id", "text", "source").collect()]
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("false")
+
+
+def got(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+def fold(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def shingles(text):
+    w = WORD.findall(fold(text))
+    k = min(5, len(w))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+
+
+def test_quality_rule_counts(docs, rows, empty):
+    expected = []
+    for d, t, _ in rows:
+        w = WORD.findall(t)
+        grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        at = {i + j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(3)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        expected.append((d, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(at), len(w) < 50 or 100 * len(at) > 50 * len(w)))
+    found = quality_rules.quality_rules(docs)
+    assert got(found, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == sorted(expected, key=repr)
+    assert found.where("base_failed AND kept").count() == 0
+    assert quality_rules.quality_rules(empty).count() == 0
+
+
+def test_bad_hosts_lose_their_documents(spark):
+    good, bad = " ".join(f"word{i}" for i in range(60)), "spam"
+    rows = [(i, good, "fine") for i in range(50)] + [(100 + i, good if i < 5 else bad, "foul") for i in range(50)] + [(900, good, None)]
+    found = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(found[i] for i in range(50)) and not any(found[100 + i] for i in range(50)) and found[900]
+    assert quality_rules.beta_prior(0.0, 0.0) == (0.5, 0.5) and quality_rules.beta_prior(0.5, 0.25) == (0.5, 0.5)
+
+
+def test_substrings_are_removed_as_by_brute_force(docs, rows, empty):
+    last = 1 << 63
+    lowest: dict[tuple, int] = {}
+    for d, t, _ in rows:
+        w = WORD.findall(t)
+        for i in range(len(w) - 12):
+            g = tuple(w[i : i + 13])
+            lowest[g] = min(lowest.get(g, last + 1), last if d is None else d)
+    expected = []
+    for d, t, _ in rows:
+        w, gone = WORD.findall(t), set()
+        for i in range(len(w) - 12):
+            if lowest[tuple(w[i : i + 13])] < (last if d is None else d):
+                gone.update(range(i, i + 13))
+        expected.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    assert any(e[2] for e in expected)
+    assert got(substring_dedup.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept") == sorted(expected, key=repr)
+    assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def test_packed_hashes_round_trip():
+    import numpy as np
+
+    for v in ([], [0], [5, 9, 1 << 40, (1 << 64) - 1]):
+        a = np.array(v, np.uint64)
+        assert substring_dedup.unpack(substring_dedup.pack(a)).tolist() == v
+
+
+def test_automata_come_upon_every_confirmed_window(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(substring_dedup, "SHARD_PHRASES", 3)
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 50_000, 400).astype(np.uint64)
+    words[300:350] = words[20:70]
+    offs = np.array([0, 200, 400])
+    at = substring_dedup.TextBlock.window_starts(None, 13, offs)
+    confirmed = np.isin(at, np.arange(300, 338))
+    assert (substring_dedup.locate(words, offs, at, confirmed) == confirmed).all()
+
+
+def test_quality_scores(spark, docs, empty):
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, f"{words} number{i}.", "s", 1) for i in range(200)] + [(1000 + i, f"$$$ !! {i} " * 30, "s", 0) for i in range(200)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, source string, quality int")
+    labels = train.select("doc_id", "quality").unionAll(spark.createDataFrame([(None, 1), (5, None)], "doc_id long, quality int"))
+    model = quality_classifier.train(train, labels)
+    scored = quality_classifier.score(train, model).join(labels, "doc_id")
+    assert scored.where("(score >= 0.5) <> (quality = 1)").count() == 0 and len(model.rules) < 40
+    kept = quality_classifier.keep_good(docs, model)
+    assert kept.columns == docs.columns and quality_classifier.keep_good(empty, model).count() == 0
+    assert got(quality_classifier.score(docs, model).where("score BETWEEN 0 AND 1"), "doc_id") == got(docs, "doc_id")
+    flat = quality_classifier.train(train, labels.where("false"))
+    assert {r[0] for r in quality_classifier.score(train, flat).select("score").distinct().collect()} == {0.5}
+
+
+def test_toxicity_scores(spark, docs, empty):
+    filler = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{filler} some idiot {i}" if i % 4 == 0 else f"{filler} some friend {i}", int(i % 4 == 0)) for i in range(400)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.train(train, train.select("doc_id", "toxic"))
+    found = toxicity.score(train, machine).join(train, "doc_id")
+    assert found.where("(score >= 0.5) <> (toxic = 1)").count() == 0
+    assert got(toxicity.score(docs, machine).where("score BETWEEN 0 AND 1"), "doc_id") == got(docs, "doc_id")
+    assert toxicity.score(empty, machine).count() == 0
+    assert toxicity.score(train, toxicity.train(train, train.select("doc_id", "toxic").where("toxic = 1"))).where("score > 0.9").count() == 400
+
+
+def test_factors_learn_a_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    texts, y = [], []
+    for i in range(1200):
+        a, b = rng.random(2) < 0.5
+        own = [10] * int(a) + [20] * int(b) + [int(x) for x in rng.choice(np.arange(100, 130), 3, replace=False)]
+        texts.append(np.array(own, np.int32))
+        y.append(float(a and b))
+    m = toxicity.fit(texts, np.array(y, np.float32))
+    margin = lambda t: float(m.margin(np.array(t, np.int32), np.array([0, len(t)]))[0])
+    assert margin([10, 20]) > 0 > max(margin([10]), margin([20]))
+    assert margin([10, 20]) - margin([10]) - margin([20]) + margin([]) > 0.1
+
+
+def test_folds_follow_crc32(spark):
+    import zlib
+
+    ids = list(range(200))
+    found = {r[0]: r[1] for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", quality_classifier.held_out("doc_id", 3, 1)).collect()}
+    assert found == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in ids}
+
+
+ITEMS = [(1, ITEM), (2, "one two"), (3, None), (4, ""), (5, "never seen words here at all in any document"), (1, ITEM), (None, PASSAGE)]
+
+
+def test_contained_items(spark, docs, rows, empty, sf_dir):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string").unionAll(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id") + 100, "text"))
+    known = [(r[0], r[1] or "") for r in items.collect()]
+    expected = []
+    for d, t, _ in rows:
+        w = WORD.findall(fold(t))
+        grams = {k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for k in range(1, 6)}
+        for item, text in known:
+            s = shingles(text)
+            shared = len(s & grams[len(next(iter(s)))]) if s else 0
+            if s and 100 * shared >= 75 * len(s):
+                expected.append((d, item, shared, len(s)))
+    assert any(e[1] is not None and e[1] > 100 for e in expected)
+    assert got(decontamination.contained_items(docs, items), "doc_id", "item_id", "n_shared", "n_item") == sorted(expected, key=repr)
+    kept = decontamination.decontaminate(docs, items)
+    hit = {e[0] for e in expected}
+    assert kept.columns == docs.columns and {r[0] for r in kept.select("doc_id").collect()} == {d for d, _, _ in rows if d not in hit}
+    assert decontamination.contained_items(empty, items).count() == 0 == decontamination.contained_items(docs, items.where("false")).count()
+    assert decontamination.decontaminate(docs, items.where("false")).count() == len(rows)
+
+
+def test_items_in_blocks(spark, docs, monkeypatch):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    whole = got(decontamination.contained_items(docs, items), "doc_id", "item_id")
+    monkeypatch.setattr(decontamination, "ITEMS_PER_BLOCK", 2)
+    assert got(decontamination.contained_items(docs, items), "doc_id", "item_id") == whole
+
+
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_boilerplate_lines(spark, empty, monkeypatch, bound):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", bound)
+    rows = [(i, f"menu\n\ntext {i}\n \nfoot" if i < 30 else f"text {i}", "h", i) for i in range(60)] + [(100, "menu", "g", 4), (101, None, "h", None), (102, "menu", None, 4), (103, "menu\nmenu", "h", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").withColumn("a.b", F.lit(1))
+    found = {r["doc_id"]: r for r in line_dedup.line_dedup(docs, chars_col="n_chars").collect()}
+    assert found[3]["text"] == "\ntext 3\n " and found[3]["n_chars"] == 9 and found[40]["text"] == "text 40" and found[40]["n_chars"] == 40
+    assert found[100]["text"] == "menu" and found[101]["text"] is None and found[102]["text"] == "menu" and found[103]["text"] == ""
+    assert len(found) == len(rows) and line_dedup.line_dedup(empty).count() == 0
+
+
+def test_bpe_equals_the_library(spark, docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_path())
+    expected = []
+    for d, t, _ in rows:
+        ids = library.encode(t, add_special_tokens=False).ids
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        expected.append((d, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    assert got(bpe.round_trip(docs), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(expected, key=repr)
+    assert got(bpe.encode(docs, threads=2).select("doc_id", F.size("ids").cast("long").alias("n")), "doc_id", "n") == sorted(((e[0], e[1]) for e in expected), key=repr)
+    assert bpe.round_trip(empty).count() == 0
+
+
+@pytest.mark.parametrize("leaf", [4, 16, 64])
+def test_joined_halves_equal_the_whole(leaf):
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_path())
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        v = bpe.Vocabulary(f.read())
+    rng = random.Random(leaf)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "a", "the", "'s", "'", "!!", "1", "23", "é", "中", " ", "　", "<|endoftext|>", "<|endo", "😀", "\r\n", "'ll", "\x85", "\x1c"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 80))) for _ in range(300)]
+    texts += ["x" * 900, " " * 333 + "w", "".join(rng.choice("abcdefghijklmnop") for _ in range(2000))]
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        cuts = bpe.leaf_offsets(raw, np.array([0, len(raw)]), leaf)
+        leaves = [v.encode(raw[a:b].tobytes().decode()) for a, b in zip(cuts, cuts[1:])]
+        assert bpe.join_all(v, leaves or [np.zeros(0, np.int32)]).tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def components_by_force(rows):
+    sets = defaultdict(list)
+    for d, t, _ in rows:
+        if d is not None and shingles(t):
+            sets[d].append(frozenset(shingles(t)))
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if any(100 * len(x & y) >= 75 * len(x | y) for x in sets[a] for y in sets[b]):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {d: find(d) for d in ids}
+
+
+@pytest.mark.parametrize("group", [512, 3])
+def test_near_duplicates(spark, docs, rows, empty, monkeypatch, group):
+    monkeypatch.setattr(near_dedup, "GROUP", group)
+    base = [f"n{i}" for i in range(60)]
+    chain = [(5000 + k, " ".join([*base[:k], *(f"c{j}" for j in range(k))] + base[k:][: 60 - k]), "h") for k in range(0, 12)]
+    copies = [(6000 + k, " ".join(base[:-1] + [f"tail{k}"]), "h") for k in range(12)]
+    more = spark.createDataFrame(chain + copies, "doc_id long, text string, source string")
+    every = docs.select("doc_id", "text", "source").unionAll(more)
+    comp = components_by_force(rows + chain + copies)
+    expected = []
+    for d, t, _ in rows + chain + copies:
+        c = d if not shingles(t) else None if d is None else comp[d]
+        expected.append((d, len(shingles(t)), c, d is None or d == c))
+    assert got(near_dedup.near_duplicates(every), "doc_id", "n_shingles", "component_id", "kept") == sorted(expected, key=repr)
+    if group == 512:
+        kept = near_dedup.keep_one(docs)
+        assert kept.columns == docs.columns
+        assert near_dedup.near_duplicates(empty).count() == 0
+
+
+def test_archives_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS", 4)
+    html = [None, "", "dup", "dup", "dup\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n", "é\n\n", "x" * 100_000]
+    rows = [(i, f"http://h/{i} x", html[i % 7]) for i in range(40)] + [(None, None, "dup"), (7, "u", "twice"), (7, "u", "twice")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
+    low = -(1 << 70)
+    groups = defaultdict(list)
+    for i, _, h in rows:
+        groups[h or ""].append(low if i is None else i)
+
+    def expect(least):
+        out, answered = [], set()
+        for i, _, h in rows:
+            p = (h or "").encode()
+            top = max(groups[h or ""])
+            answers = len(p) < least or ((low if i is None else i) == top and p not in answered)
+            if answers and len(p) >= least:
+                answered.add(p)
+            out.append((i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if answers else "revisit", None if answers else top))
+        return sorted(out, key=repr)
+
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert got(warc.archive_pages(pages), *columns) == expect(0)
+    assert got(warc.archive_pages(pages, min_bytes=4), *columns) == expect(4)
+    assert warc.archive_pages(pages.where("false")).count() == 0
+
+
+def test_arc_versions_and_damage():
+    body = b"HTTP/1.0 200 OK\r\n\r\nhello"
+    for version in (1, 2):
+        block = warc.arc_version_block(version, "f.arc", "19990101000000")
+        good = warc.arc_record(version, "f.arc", len(block) + 1, "http://a b/", "19990102", "text/html", body)
+        dns = warc.arc_record(version, "f.arc", 0, "dns:a", "19990102030405", "text/dns", b"1.2.3.4")
+        records = list(warc.parse_arc(block + b"\n" + good + b"\n" + dns + b"\n" + good[:-2]))
+        assert [(r[2]["url"], r[4]) for r in records] == [("http://a%20b/", False), ("dns:a", False), ("http://a%20b/", True)]
+        first, second, third = (warc.synthesise(*r) for r in records)
+        assert first[3] == "1999-01-02T00:00:00Z" and first[5] == "response" and first[7] == b"hello" and second[5] == "resource" and third[10]
+        assert len({first[0], second[0], third[0]}) == 3
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(b"filedesc://x 0.0.0.0 1 text/plain 8\n9 0 x\nURL\n"))
+    assert warc.warc_date("soon") == "1970-01-01T00:00:00Z"
+
+
+def secrets_by_force(text):
+    base = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, text) if len(m[2]) >= 6]
+    base += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    base += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    weak = [(m.start(), 3, m.end()) for m in re.finditer(secrets.USER, text)]
+    weak += [(m.start(), 4, m.end()) for m in re.finditer(secrets.TOKEN, text) if all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+    weak += [(m.start(), 5, m.end()) for m in re.finditer(secrets.ENDPOINT, text)]
+    weak = [w for w in weak if not any(w[0] < b[2] and b[0] < w[2] for b in base)]
+    near = lambda w, kinds: any(p[1] in kinds and p[0] <= w[2] + 200 and p[2] >= w[0] - 200 for p in base + weak)
+    linked = [w for w in weak if (w[1] == 3 and near(w, (0, 2, 4))) or (w[1] == 4 and near(w, (1, 3, 5))) or (w[1] == 5 and near(w, (1, 3)) and near(w, (0, 2, 4)))]
+    return sorted(base), sorted(base + linked)
+
+
+def test_secret_spans(spark, docs, empty):
+    import random
+
+    rng = random.Random(5)
+    parts = ["secret", "Token", '"', "'", " ", ":", "=", "abc", "abcdef1", "AKIA", "ABCDEF0123456789", "é", "😀", "\n", "deadbeef" * 3, "user=bob", "https://x.y/z", "aB3" * 12, "x" * 150, "api_key", "password"]
+    made = [(7000 + i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for i in range(600)]
+    every = docs.select("doc_id", "text").unionAll(spark.createDataFrame(made, "doc_id long, text string"))
+    spans = lambda x: sorted((s["start"], s["kind"], s["end"]) for s in x)
+    found = sorted(((r["doc_id"], spans(r["base"]), spans(r["spans"])) for r in secrets.scan(every).collect()), key=repr)
+    expected = sorted(((r["doc_id"], *secrets_by_force(r["text"] or "")) for r in every.collect()), key=repr)
+    assert found == expected and any(len(a) < len(b) for _, a, b in expected)
+    assert secrets.scan(empty).count() == 0
+
+
+def test_secret_scan_runs_no_python(spark, docs):
+    plan = secrets.base_and_parts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|ArrowEval", plan)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(name, same):
+    same(queries.QUERIES[name], queries.ORACLES[name])
+
+
+CONTRACT = {
+    "op3_quality_classifier": ["doc_id", "held_out", "score", "predicted"],
+    "op5_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op7_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op8_near_dedup": ["doc_id", "n_shingles", "component_id", "kept"],
+    "op9_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+    "op10_secret_scan": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_query_columns(name, spark, sf_dir):
+    df = queries.QUERIES[name](spark, sf_dir)
+    table = "pages" if name == "op9_warc" else "documents"
+    assert df.columns == CONTRACT[name] and df.count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
