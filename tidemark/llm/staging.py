@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,9 +16,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a new local one where that is unset (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = getattr(spark.sparkContext, "_tidemark_dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext._tidemark_dir = found
-        spark.sparkContext.setCheckpointDir(found)
+        found = getattr(spark.sparkContext, "_tidemark_dir", None)
+        if not found:
+            found = spark.sparkContext._tidemark_dir = tempfile.mkdtemp(prefix="tidemark-")
+            spark.sparkContext.setCheckpointDir(found)
+            atexit.register(shutil.rmtree, found, True)
     return found.rstrip("/")
 
 
@@ -36,6 +40,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staging(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results that still read them must be written before."""
+    delete_path(spark, f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
