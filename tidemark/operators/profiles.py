@@ -183,6 +183,16 @@ def beam_search(profiles: DataFrame, predicates: dict[str, Column], success: Col
     return chosen
 
 
+def relaxed(profiles: DataFrame, required: Column, demographics: Column, season: Column, minimum: int) -> tuple[Column, tuple[str, ...]]:
+    """The strictest condition that enough users meet, and what was given up for it: demographics first, then the season.
+
+    All three sizes come from one aggregation.
+    """
+    steps = [(required & demographics & season, ()), (required & season, ("demographics",)), (required, ("demographics", "season"))]
+    sizes = profiles.agg(*(F.count_if(c).alias(f"_{i}") for i, (c, _) in enumerate(steps))).first()
+    return next((s for i, s in enumerate(steps) if sizes[f"_{i}"] >= minimum), steps[-1])
+
+
 def ratio_evaluation(users: DataFrame, group: str, score: str, outcome: str, tie: str, ratios: Sequence[float]) -> DataFrame:
     """For each ratio: users in the top share of their group, their outcome rate, and its lift over everyone's."""
     w = Window.partitionBy(group)

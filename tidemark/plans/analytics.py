@@ -382,16 +382,16 @@ def ipw_ate(spark, sf_dir):
 _CURVE = f"SELECT unit, row_number() OVER w AS rank, sum(CASE WHEN treatment = 1 THEN 0.5 * outcome / probability ELSE -0.5 * outcome / (1 - probability) END) OVER (ORDER BY score DESC, unit ROWS UNBOUNDED PRECEDING) AS gain FROM ({_UNITS}) WINDOW w AS (ORDER BY score DESC, unit)"
 
 
-@query("qini_curve", f"SELECT unit, rank, round(gain, 6) AS gain FROM ({_CURVE})")
+@query("qini_curve", f"SELECT unit, rank, round(gain, 6) + 0.0::double AS gain FROM ({_CURVE})")
 def qini_curve(spark, sf_dir):
     found = uplift.qini_curve(_units(spark, sf_dir), "score", "unit")
-    return found.select("unit", F.col("rank").cast("long").alias("rank"), F.round("gain", 6).alias("gain"))
+    return found.select("unit", F.col("rank").cast("long").alias("rank"), (F.round("gain", 6) + F.lit(0.0)).alias("gain"))
 
 
-@query("qini_summary", f"SELECT count(*) AS n, round(avg(gain), 5) AS auuc, round(arg_max(gain, rank) * avg(rank) / count(*), 5) AS auuc_baseline, round(avg(gain) - arg_max(gain, rank) * avg(rank) / count(*), 5) AS qini FROM ({_CURVE})")
+@query("qini_summary", f"SELECT count(*) AS n, round(avg(gain), 5) + 0.0::double AS auuc, round(arg_max(gain, rank) * avg(rank) / count(*), 5) + 0.0::double AS auuc_baseline, round(avg(gain) - arg_max(gain, rank) * avg(rank) / count(*), 5) + 0.0::double AS qini FROM ({_CURVE})")
 def qini_summary(spark, sf_dir):
     found = uplift.qini_summary(uplift.qini_curve(_units(spark, sf_dir), "score", "unit"))
-    return found.select("n", *(F.round(c, 5).alias(c) for c in ("auuc", "auuc_baseline", "qini")))
+    return found.select("n", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("auuc", "auuc_baseline", "qini")))
 
 
 @query("uplift_at_k", f"SELECT fraction, count(*) AS n, round(sum(wt * outcome) FILTER (treatment = 1) / sum(wt) FILTER (treatment = 1) - sum(wt * outcome) FILTER (treatment = 0) / sum(wt) FILTER (treatment = 0), 6) AS ate FROM (SELECT *, {_W}, row_number() OVER (ORDER BY score DESC, unit) AS r, count(*) OVER () AS total FROM ({_UNITS})), (SELECT unnest([0.1::double, 0.2::double, 0.3::double]) AS fraction) WHERE r <= greatest(1, ceil(total * fraction)) GROUP BY fraction")
