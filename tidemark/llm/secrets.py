@@ -15,6 +15,8 @@ points that its scope touches, joined on document and bin, and compared there.
 
 Positions are code points, ends exclusive.  ``split`` and ``regexp_extract_all``
 give the stretches between and inside matches, whose lengths add up to them.
+The spans of a text are gathered within its row, which copies a reference for
+each pair of its matches; texts are few that have more than some thousands.
 
 Defined results: a null text is empty and has no spans; rows that repeat id and
 text get the same result each; a null id is carried and its texts are told apart
