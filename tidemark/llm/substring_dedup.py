@@ -42,7 +42,7 @@ from .staging import bound_batches, read_table
 from .textblock import TextBlock, U, blocks, bytes_of
 
 WINDOW, PHRASE = 13, 5
-CHUNK_BYTES, MIN_CHUNKS = 8 << 20, 32
+CHUNK_BYTES, MIN_CHUNKS = 4 << 20, 32
 SHARD_PHRASES = 30_000
 _LAST = np.iinfo(np.int64).max
 #: A word's code has three letters: the first from one alphabet, so that a match begins at a word, the others from another.
@@ -117,9 +117,11 @@ def locate(words: np.ndarray, offs: np.ndarray, at: np.ndarray, confirmed: np.nd
         low[less], anchor[less] = other[less], starts[less] + j
     _, first = np.unique(low, return_index=True)
     anchor = np.sort(anchor[first])
-    _, code = np.unique(words, return_inverse=True)
-    letters = np.stack([0x100 + code // LETTERS**2 % LETTERS, 0x200 + code // LETTERS % LETTERS, 0x200 + code % LETTERS], 1)
-    text = letters.astype("<u2").tobytes().decode("utf-16-le")
+    code = np.unique(words, return_inverse=True)[1].astype(np.int32)
+    letters = np.empty((len(code), 3), "<u2")
+    letters[:, 0], letters[:, 1], letters[:, 2] = 0x100 + code // LETTERS**2 % LETTERS, 0x200 + code // LETTERS % LETTERS, 0x200 + code % LETTERS
+    text = letters.tobytes().decode("utf-16-le")
+    del code, letters, phrases, starts
     bounds = (3 * offs).tolist()
     places = []
     for lo in range(0, len(anchor), SHARD_PHRASES):
