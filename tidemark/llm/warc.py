@@ -193,12 +193,17 @@ def synthesise(archive: str, offset: int, fields: dict[str, str], content: bytes
 _ARC_ROWS = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("type", pa.string()), ("http", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("truncated", pa.bool_())])
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the ARC archives in a folder, in WARC terms."""
+def _packed(row: tuple) -> tuple:
+    return (*row[:7], zlib.compress(row[7], 1), *row[8:])
+
+
+def read_arc(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """The records of the ARC archives in a folder, in WARC terms; with ``packed`` payloads deflated, for a shuffle to come."""
     bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (synthesise(*r) for batch in batches for data in _payloads(batch, "content") for r in parse_arc(_gunzip(data)))
+        rows = map(_packed, rows) if packed else rows
         return _batches(rows, _ARC_ROWS, lambda r: len(r[7]) + 500)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD_SCHEMA)
@@ -234,8 +239,8 @@ def warc_record(kind: str, headers: list[tuple[str, str]], block: bytes) -> byte
     return f"WARC/1.1\r\n{lines}\r\n".encode() + block
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """One WARC record per row of a converted table; every file begins with a warcinfo record."""
+def write_warc(records: DataFrame, path: str, packed: bool = False) -> None:
+    """One WARC record per row of a converted table, ``packed`` if its payloads are; every file begins with a warcinfo record."""
     bound_batches(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +261,7 @@ def write_warc(records: DataFrame, path: str) -> None:
                     if kind == "revisit":
                         headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<{ref}>"), ("WARC-Refers-To-Target-URI", ref_url), ("WARC-Refers-To-Date", ref_date)]
                     n += 1
-                    yield (warc_record(kind, headers, http if kind == "revisit" else http + payload),)
+                    yield (warc_record(kind, headers, http if kind == "revisit" else http + (zlib.decompress(payload) if packed else payload)),)
 
         return _batches(rows(), _BYTES, lambda r: len(r[0]))
 
@@ -307,7 +312,7 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0, **columns: str) -> DataF
     spark = pages.sparkSession
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(pages, arc, **columns)
-    write_warc(convert(read_arc(spark, arc), min_bytes), warc)
+    write_warc(convert(read_arc(spark, arc, packed=True), min_bytes), warc, packed=True)
     back = materialize(read_warc(spark, warc, with_payload=False).select(_page_id("http").alias("page_id"), "record_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to"), "warc-index")
     answers = back.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("_answer"))
     return back.join(answers, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("_answer").alias("refers_to"))
