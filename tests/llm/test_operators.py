@@ -273,7 +273,7 @@ def components_by_force(rows):
     return {d: find(d) for d in ids}
 
 
-@pytest.mark.parametrize("group", [512, 3])
+@pytest.mark.parametrize("group", [256, 3])
 def test_near_duplicates(spark, docs, rows, empty, monkeypatch, group):
     monkeypatch.setattr(near_dedup, "GROUP", group)
     base = [f"n{i}" for i in range(60)]
@@ -287,7 +287,7 @@ def test_near_duplicates(spark, docs, rows, empty, monkeypatch, group):
         c = d if not shingles(t) else None if d is None else comp[d]
         expected.append((d, len(shingles(t)), c, d is None or d == c))
     assert got(near_dedup.near_duplicates(every), "doc_id", "n_shingles", "component_id", "kept") == sorted(expected, key=repr)
-    if group == 512:
+    if group == 256:
         kept = near_dedup.keep_one(docs)
         assert kept.columns == docs.columns
         assert near_dedup.near_duplicates(empty).count() == 0

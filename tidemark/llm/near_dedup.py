@@ -44,7 +44,7 @@ from .textblock import TextBlock, U, blocks, mix, per_text, repeated, stream
 SHINGLE, SIMILARITY_PERCENT = 5, 75
 COORDINATES, MATCHES = 32, 11
 PREFIX = COORDINATES - MATCHES + 1
-GROUP = 512
+GROUP = 256
 
 _FLIP, _SCALE = stream(COORDINATES, 303), stream(COORDINATES, 404) | U(1)
 
