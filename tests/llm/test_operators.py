@@ -293,6 +293,16 @@ def test_near_duplicates(spark, docs, rows, empty, monkeypatch, group):
         assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_rest_of_a_large_group_links_once_per_component():
+    import pyarrow as pa
+
+    base = [f"n{i}" for i in range(60)]
+    text = lambda k: " ".join([*base[:-k], *(f"t{k}x{j}" for j in range(k))])
+    table = pa.table({"rep": [1, 2, 3, 9], "text": [text(1), text(2), text(3), "nothing like the others at all here"], "rest": [True, False, False, False], "component": [1, 2, 2, 9]})
+    assert near_dedup.link_rest(table).to_pylist() == [{"a": 1, "b": 2}]
+    assert near_dedup.link_block(table.select(["rep", "text"])).num_rows == 2
+
+
 def test_archives_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "RECORDS", 4)
     html = [None, "", "dup", "dup", "dup\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n", "é\n\n", "x" * 100_000]

@@ -164,7 +164,7 @@ def link_block(table: pa.Table) -> pa.Table:
 def link_rest(table: pa.Table) -> pa.Table:
     """Edges between the classes marked ``rest`` and the others of a block, of another component."""
     reps, sets, sig = _sets(table)
-    rest, comp = np.array(table["rest"].combine_chunks().to_pylist(), bool), np.array(table["component"], np.int64)
+    rest, comp = np.array(table["rest"].combine_chunks().to_pylist(), bool), np.array(table["component"].to_pylist(), np.int64)
     ours, others = np.flatnonzero(rest), np.flatnonzero(~rest)
     a: list[int] = []
     b: list[int] = []
