@@ -224,7 +224,7 @@ def distinct_on_latest(spark, sf_dir):
 def allocation_winners(spark, sf_dir):
     """One segment per user: by priority, then normalised fit (nulls last), then segment; excluded users go first."""
     excluded = table(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_partkey").alias("l_partkey"))
-    rows = table(spark, sf_dir, "lineitem").join(excluded, "l_partkey", "left_anti").join(F.broadcast(table(spark, sf_dir, "supplier")), F.col("s_suppkey") == F.col("l_suppkey"))
+    rows = table(spark, sf_dir, "lineitem").join(excluded, "l_partkey", "left_anti").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     fit = (F.col("l_quantity") - 10) / F.nullif("l_discount", F.lit(0.0))
     best = ranking.first_per_key(rows, ["l_partkey"], [F.col("s_nationkey"), fit.desc_nulls_last(), F.col("l_suppkey"), F.col("l_orderkey"), F.col("l_linenumber")])
     return best.select(F.col("l_partkey").alias("user_id"), F.col("l_suppkey").alias("segment_id"), F.col("l_orderkey").alias("snapshot_id"))
