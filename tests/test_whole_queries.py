@@ -1,9 +1,33 @@
-"""Queries over whole tables, against SQL without any cut."""
+"""Queries that do the whole job, against SQL without any cut or brute force."""
 
 from __future__ import annotations
 
+import numpy as np
+
 from tidemark.plans import catalog
 
 
 def test_range_join_takes_every_line_and_part(same):
     same(catalog.QUERIES["binned_range_join"], "SELECT l_orderkey, count(*) AS pairs FROM lineitem JOIN part ON p_partkey % 5 = l_linenumber AND l_quantity >= p_size AND l_quantity < p_size + 4 GROUP BY l_orderkey")
+
+
+def kmeans_by_force(ids, vectors, k, rounds):
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    v = unit(vectors)
+    centres = [v[np.argmin(ids)]]
+    while len(centres) < k:
+        near = (v @ np.array(centres).T).max(1)
+        centres.append(v[min(range(len(ids)), key=lambda i: (near[i], ids[i]))])
+    centres = np.array(centres)
+    for _ in range(rounds):
+        own = (v @ centres.T).argmax(1)
+        for c in set(own.tolist()):
+            centres[c] = unit(v[own == c].mean(0))
+    return dict(zip(ids, (v @ centres.T).argmax(1).tolist(), strict=True))
+
+
+def test_kmeans_runs_the_eight_rounds_of_the_reference(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, vectors = [r[0] for r in rows], np.array([r[1] for r in rows], float)
+    found = {r["vec_id"]: r["cluster"] for r in catalog.QUERIES["spherical_kmeans"](spark, sf_dir).collect()}
+    assert found == kmeans_by_force(ids, vectors, 4, 8) != kmeans_by_force(ids, vectors, 4, 2)

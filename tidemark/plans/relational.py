@@ -394,4 +394,4 @@ def similarity_histogram(spark, sf_dir):
 
 @query("spherical_kmeans")
 def spherical_kmeans(spark, sf_dir):
-    return vector_search.spherical_kmeans(table(spark, sf_dir, "embeddings"), 4, 2)
+    return vector_search.spherical_kmeans(table(spark, sf_dir, "embeddings"), 4)
