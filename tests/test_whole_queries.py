@@ -31,3 +31,9 @@ def test_kmeans_runs_the_eight_rounds_of_the_reference(spark, sf_dir):
     ids, vectors = [r[0] for r in rows], np.array([r[1] for r in rows], float)
     found = {r["vec_id"]: r["cluster"] for r in catalog.QUERIES["spherical_kmeans"](spark, sf_dir).collect()}
     assert found == kmeans_by_force(ids, vectors, 4, 8) != kmeans_by_force(ids, vectors, 4, 2)
+
+
+def test_case_order_returns_every_order_in_order(spark, sf_dir, duck):
+    sql = "SELECT o_orderkey, o_orderpriority, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey ORDER BY CASE o_orderpriority WHEN '2-HIGH' THEN 0 WHEN '1-URGENT' THEN 1 ELSE 2 END, o_orderkey"
+    found = [tuple(r) for r in catalog.QUERIES["case_order"](spark, sf_dir).collect()]
+    assert found == duck.execute(sql).fetchall() and len({r[1] for r in found}) > 2

@@ -93,7 +93,7 @@ def uplift_units_join(spark, sf_dir):
 def case_order(spark, sf_dir):
     rank = F.when(F.col("o_orderpriority") == "2-HIGH", 0).when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(2)
     j = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    return j.orderBy(rank, "o_orderkey").limit(50).select("o_orderkey", "o_orderpriority", "c_mktsegment")
+    return j.orderBy(rank, "o_orderkey").select("o_orderkey", "o_orderpriority", "c_mktsegment")
 
 
 @query("unbound_or_active", "SELECT min(c_custkey) AS c_custkey FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS state FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey WHERE state IS NULL OR state = 'P'")
