@@ -200,6 +200,18 @@ def test_contained_items(spark, docs, rows, empty, sf_dir):
     assert decontamination.decontaminate(docs, items.where("false")).count() == len(rows)
 
 
+def test_items_of_few_shingles_are_never_missed():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [" ".join(f"d{i}x{j}" for j in range(40)) for i in range(3000)]
+    items = [" ".join(t.split()[:n]) for i, t in enumerate(texts) for n in [(2, 5, 6, 7)[i % 4]]]
+    index = decontamination.ItemIndex(list(range(3000)), items)
+    buf, offs = decontamination.bytes_of(pa.array(texts))
+    found = {(d, item) for d, item, *_ in decontamination._contained(index, decontamination.TextBlock(buf, np.asarray(offs)))}
+    assert found == {(i, i) for i in range(3000)}
+
+
 def test_items_in_blocks(spark, docs, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     whole = got(decontamination.contained_items(docs, items), "doc_id", "item_id")

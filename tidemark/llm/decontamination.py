@@ -7,6 +7,9 @@ is, and a stretch is a candidate for an item if their MinHash signatures agree
 in a coordinate.  Candidates are verified with exact set containment of the
 item's shingles in the whole document.
 
+Items of up to ``DIRECT_SHINGLES`` shingles are not signed: every document with
+one of their shingles is a candidate.
+
 A coordinate agrees only where the item's minimal shingle stands in the
 stretch; stretches without any item shingle are therefore not signed.
 
@@ -34,6 +37,8 @@ from .textblock import TextBlock, U, blocks, bytes_of, mix, stream
 SHINGLE = 5
 MIN_CONTAINMENT_PERCENT = 75
 COORDINATES = 64
+#: Items of so few shingles are looked up by each of them.
+DIRECT_SHINGLES = 3
 #: Items are searched in blocks of so many: what a task holds has this bound for any size of the item table.
 ITEMS_PER_BLOCK = 20_000
 
@@ -57,12 +62,17 @@ class ItemIndex:
             at = np.arange(len(own) - k + 1)
             self.shingles.setdefault(k, []).append((d, np.unique(TextBlock.run_hash(own, at, at + k))))
         self.known, self.parts, self.exact = {}, {}, {}
+        direct: dict[int, list[tuple[int, int]]] = {}  # by words in a shingle: shingle and item
         for k, items in self.shingles.items():
             self.known[k] = np.unique(np.concatenate([s for _, s in items]))
             for d, s in items:
                 self.exact[d] = s
+                if len(s) <= DIRECT_SHINGLES:
+                    direct.setdefault(k, []).extend((g, d) for g in s.tolist())
+                    continue
                 size = _partition(len(s))
                 self.parts.setdefault((k, size), []).append((d, _signature(s[:, None])[0]))
+        self.direct = {k: (np.array([g for g, _ in rows], U), np.array([d for _, d in rows])) for k, rows in ((k, sorted(rows)) for k, rows in direct.items())}
         self.tables = {}
         for key, rows in self.parts.items():
             sig = np.stack([s for _, s in rows])
@@ -131,6 +141,11 @@ def _contained(index: ItemIndex, t: TextBlock) -> list[tuple[int, int, int, int]
         for part in index.tables:
             if part[0] == k:
                 pairs |= _candidates(index, k, part[1], hashes, hit, text_of, bounds[:-1], bounds[1:])
+        if k in index.direct:
+            values, items = index.direct[k]
+            left, right = np.searchsorted(values, hashes[hit], "left"), np.searchsorted(values, hashes[hit], "right")
+            for w in np.flatnonzero(right > left):
+                pairs.update((int(text_of[hit[w]]), int(x)) for x in items[left[w] : right[w]])
         sets: dict[int, np.ndarray] = {}
         for d, item in sorted(pairs):
             if d not in sets:
