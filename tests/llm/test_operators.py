@@ -152,6 +152,15 @@ def test_toxicity_scores(spark, docs, empty):
     assert toxicity.score(train, toxicity.train(train, train.select("doc_id", "toxic").where("toxic = 1"))).where("score > 0.9").count() == 400
 
 
+def test_small_training_sets_learn_rare_terms():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    texts = [np.unique(np.append(rng.integers(100, 140, 6), [7] if i < 8 else [])).astype(np.int32) for i in range(300)]
+    m = toxicity.fit(texts, np.array([float(i < 8) for i in range(300)], np.float32))
+    assert 7 in m.buckets and m.margin(np.array([7], np.int32), np.array([0, 1]))[0] > m.margin(np.array([100], np.int32), np.array([0, 1]))[0] + 2
+
+
 def test_factors_learn_a_pair():
     import numpy as np
 

@@ -10,8 +10,8 @@ square of its two-proportion z score, so that terms that are spread alike over
 both labels hardly speak and a few noisy labels aren't learnt by heart.
 
 The fit uses at most ``MAX_TRAIN_ROWS`` labelled rows, those with the smallest
-hash of their id, and only buckets that ``MIN_DOCS`` of them have; scoring covers
-every term of every whole text.
+hash of their id, and only buckets that ``MIN_SHARE`` of them have, ``MIN_DOCS``
+rows at least; scoring covers every term of every whole text.
 
 Defined results: null and empty texts get the score of no terms; rows with a
 repeated id are scored row by row; a null id is never held out, carried as null
@@ -37,7 +37,7 @@ from .textblock import U, blocks, repeated
 
 MAX_TRAIN_ROWS = 12_000
 BUCKET_BITS = 20
-MIN_DOCS = 12
+MIN_DOCS, MIN_SHARE = 3, 0.001
 FACTORS = 8
 #: The z score at which a term has its full value, and the least value of any.
 FULL_SCORE, LEAST_VALUE = 6.0, 0.01
@@ -104,7 +104,7 @@ def fit(texts: list[np.ndarray], y: np.ndarray) -> Machine:
     n1 = int((y == 1).sum())
     base = math.log((n1 + 1) / (len(y) - n1 + 1))
     docs = np.bincount(np.concatenate(texts) if texts else np.zeros(0, np.int64), minlength=1 << BUCKET_BITS)
-    buckets = np.flatnonzero(docs >= MIN_DOCS)
+    buckets = np.flatnonzero(docs >= max(MIN_DOCS, math.ceil(MIN_SHARE * len(y))))
     if not 0 < n1 < len(y):
         buckets = buckets[:0]
     rng = np.random.Generator(np.random.PCG64(7))
