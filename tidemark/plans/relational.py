@@ -89,7 +89,7 @@ def uplift_units_join(spark, sf_dir):
     return j.groupBy("r_name").agg(n_rows().alias("units"), F.count("vec_id").alias("with_vector"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-@query("case_order", "SELECT o_orderkey, o_orderpriority, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey ORDER BY CASE o_orderpriority WHEN '2-HIGH' THEN 0 WHEN '1-URGENT' THEN 1 ELSE 2 END, o_orderkey LIMIT 50")
+@query("case_order", "SELECT o_orderkey, o_orderpriority, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey ORDER BY CASE o_orderpriority WHEN '2-HIGH' THEN 0 WHEN '1-URGENT' THEN 1 ELSE 2 END, o_orderkey")
 def case_order(spark, sf_dir):
     rank = F.when(F.col("o_orderpriority") == "2-HIGH", 0).when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(2)
     j = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
@@ -141,7 +141,7 @@ def unnest_with_ordinality(spark, sf_dir):
     return rows.select("c_custkey", "part", (F.col("pos") + 1).cast("long").alias("ordinal"))
 
 
-@query("binned_range_join", "SELECT l_orderkey, count(*) AS pairs FROM lineitem JOIN part ON p_partkey % 5 = l_linenumber AND l_quantity >= p_size AND l_quantity < p_size + 4 WHERE l_orderkey < 200 AND p_partkey < 100 GROUP BY l_orderkey")
+@query("binned_range_join", "SELECT l_orderkey, count(*) AS pairs FROM lineitem JOIN part ON p_partkey % 5 = l_linenumber AND l_quantity >= p_size AND l_quantity < p_size + 4 GROUP BY l_orderkey")
 def range_join(spark, sf_dir):
     """Parts of one key and size are one range with their number, so the join doesn't grow as lines times parts."""
     points = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("key"), F.col("l_quantity").alias("at"))
@@ -195,9 +195,8 @@ def duplicate_members(spark, sf_dir):
 
 @query("scalar_subquery_count", "SELECT r_name, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS open_orders FROM region")
 def scalar_subquery_count(spark, sf_dir):
-    table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").createOrReplaceTempView("_td_open")
-    table(spark, sf_dir, "region").createOrReplaceTempView("_td_region")
-    return spark.sql("SELECT r_name, (SELECT count(*) FROM _td_open) AS open_orders FROM _td_region")
+    opened = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
+    return spark.sql("SELECT r_name, (SELECT count(*) FROM {opened}) AS open_orders FROM {region}", opened=opened, region=table(spark, sf_dir, "region"))
 
 
 # Windows, ranks and samples
