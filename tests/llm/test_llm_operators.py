@@ -395,8 +395,20 @@ def test_secret_spans(spark, docs, empty):
 
 
 def test_secret_scan_runs_no_python(spark, docs):
-    plan = secrets.base_and_parts(docs)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|ArrowEval", plan)
+    found = secrets.base_and_parts(docs)
+    for df in (found, secrets.clear_parts(found), secrets.linked(found), secrets.scan(docs)):
+        assert not re.search("Python|Pandas|ArrowEval", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_very_many_matches_in_one_text(spark):
+    hexes = " ".join(f"{i:024x}" for i in range(60_000))
+    users = " ".join(f"user=bob{i} aB3{i:030d}x" for i in range(10_000))
+    rows = spark.createDataFrame([(1, hexes), (2, users), (3, "AKIA" + "A" * 100_000 + " user=eve1")], "doc_id long, text string")
+    spans = lambda x: sorted((s["start"], s["kind"], s["end"]) for s in x)
+    found = {r["doc_id"]: spans(r["spans"]) for r in secrets.scan(rows).collect()}
+    assert found[1] == [(25 * i, 2, 25 * i + 24) for i in range(60_000)]
+    assert found[2] == secrets_by_force(users)[1] and len(found[2]) == 20_000
+    assert found[3] == [(0, 1, 100_004)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))

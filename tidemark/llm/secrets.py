@@ -15,8 +15,9 @@ points that its scope touches, joined on document and bin, and compared there.
 
 Positions are code points, ends exclusive.  ``split`` and ``regexp_extract_all``
 give the stretches between and inside matches, whose lengths add up to them.
-The spans of a text are gathered within its row, which copies a reference for
-each pair of its matches; texts are few that have more than some thousands.
+The n matches of a text are added up in about sqrt(n) runs of sqrt(n), so a text
+of 10 MB that is nothing but matches takes seconds.  Weak spans that overlap a
+base span are found by an interval join too, never by comparing all with all.
 
 Defined results: a null text is empty and has no spans; rows that repeat id and
 text get the same result each; a null id is carried and its texts are told apart
@@ -50,23 +51,41 @@ HINTS = {"assign": r"(?i:passw|secret|token|api_?key)", "user": r"(?i:user|login
 _NO_SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _spans(text: Column, kind: str, pattern: str, hint: Column, value_group: int = 0, keep=None) -> Column:
     """The matches of ``pattern`` as structs of start, kind and end; ``keep`` filters by the value group."""
     between, inside = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
     steps = F.arrays_zip(between.alias("b"), inside.alias("m"), value.alias("v"))
     code = KINDS.index(kind)
+    inner = lambda x: F.coalesce(F.length(x["m"]), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["b"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
+        end = start + inner(x)
         span = F.array(F.struct(start.alias("start"), F.lit(code).alias("kind"), end.alias("end")))
         good = x["m"].isNotNull() & (keep(x["v"]) if keep else F.lit(True))
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["found"], span)).otherwise(acc["found"]).alias("found"))
 
     empty = F.array().cast(_NO_SPANS)
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
-    return F.when(hint, found).otherwise(empty)
+
+    def in_runs(all_steps: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(all_steps))).cast("int")
+        runs = F.transform(F.sequence(F.lit(1), F.size(all_steps), size), lambda i: F.slice(all_steps, i, size))
+        return _let(runs, lambda r: F.flatten(F.zip_with(r, _starts(r), one_run)))
+
+    def _starts(runs: Column) -> Column:
+        totals = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda n, x: n + F.length(x["b"]) + inner(x)))
+        return F.slice(F.aggregate(totals, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))), 1, F.size(runs))
+
+    def one_run(run: Column, at: Column) -> Column:
+        return F.aggregate(run, F.struct(at.alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
+
+    return F.when(hint, _let(steps, in_runs)).otherwise(empty)
 
 
 def _shown(spans: Column) -> Column:
@@ -75,7 +94,7 @@ def _shown(spans: Column) -> Column:
 
 
 def base_and_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, base (spans of the base kinds), weak (spans of the weak ones outside of those)."""
+    """doc_id, text_hash, base (spans of the base kinds), weak (spans of the weak ones, overlaps with base included)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(
         _spans(text, "assign", ASSIGN, text.rlike(HINTS["assign"]), 2, lambda v: F.length(v) >= ASSIGN_VALUE),
@@ -88,30 +107,48 @@ def base_and_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _spans(text, "token", TOKEN, text.rlike(TOKEN), 0, mixed),
         _spans(text, "endpoint", ENDPOINT, text.contains("://")),
     )
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), base.alias("base"), weak.alias("weak"))
-    clear = F.filter("weak", lambda w: ~F.exists("base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))
-    return rows.select("doc_id", "text_hash", "base", clear.alias("weak"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), base.alias("base"), weak.alias("weak"))
+
+
+_KEY = ("doc_id", "text_hash", "start", "kind", "end")
+
+
+def _binned(spans: DataFrame, margin: int = 0) -> DataFrame:
+    """The spans in every bin of ``SCOPE`` code points that they touch, or come as near to as ``margin``."""
+    return spans.withColumn("bin", F.explode(F.sequence(F.floor((F.col("start") - margin) / SCOPE), F.floor((F.col("end") + margin) / SCOPE))))
+
+
+def _near(wanted: DataFrame, others: DataFrame, margin: int) -> DataFrame:
+    """Of the wanted spans, those that share a code point with one of the others, or come as near as ``margin`` (0: touch)."""
+    a, b = _binned(wanted, margin).alias("a"), _binned(others).alias("b")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash")) & (F.col("a.bin") == F.col("b.bin"))
+    if margin:
+        within = (F.col("b.start") <= F.col("a.end") + margin) & (F.col("b.end") >= F.col("a.start") - margin)
+    else:
+        within = (F.col("b.start") < F.col("a.end")) & (F.col("b.end") > F.col("a.start"))
+    return a.join(b, same & within, "left_semi").select(*_KEY).distinct()
+
+
+def clear_parts(found: DataFrame) -> DataFrame:
+    """The distinct spans of the texts that have weak ones: all base spans, and the weak ones that overlap none of those."""
+    spans = found.where(F.size("weak") > 0).select("doc_id", "text_hash", F.explode(F.concat("base", "weak")).alias("s")).distinct()
+    spans = materialize(spans.select("doc_id", "text_hash", "s.start", "s.kind", "s.end"), "secret-spans")
+    base, weak = spans.where("kind < 3"), spans.where("kind >= 3")
+    covered = _near(weak, base, 0).alias("c")
+    w = weak.alias("w")
+    same = F.col("w.doc_id").eqNullSafe(F.col("c.doc_id"))
+    for c in _KEY[1:]:
+        same = same & (F.col(f"w.{c}") == F.col(f"c.{c}"))
+    return materialize(base.unionAll(w.join(covered, same, "left_anti")), "secret-clear")
 
 
 def linked(found: DataFrame) -> DataFrame:
     """doc_id, text_hash and the weak spans that complementary parts complete."""
-    spans = found.where(F.size("weak") > 0).select("doc_id", "text_hash", F.explode(F.concat("base", "weak")).alias("s")).distinct()
-    spans = spans.select("doc_id", "text_hash", "s.start", "s.kind", "s.end")
-    bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / SCOPE), F.floor(hi / SCOPE)))
-    code = KINDS.index
-
-    def near(wanted: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-        """Of the wanted spans, those with one of these kinds in their scope."""
-        a = wanted.withColumn("bin", bins(F.col("start") - SCOPE, F.col("end") + SCOPE)).alias("a")
-        b = spans.where(F.col("kind").isin([code(k) for k in kinds])).withColumn("bin", bins(F.col("start"), F.col("end"))).alias("b")
-        same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash")) & (F.col("a.bin") == F.col("b.bin"))
-        within = (F.col("b.start") <= F.col("a.end") + SCOPE) & (F.col("b.end") >= F.col("a.start") - SCOPE)
-        return a.join(b, same & within, "left_semi").select("doc_id", "text_hash", "start", "kind", "end").distinct()
-
-    of = lambda kind: spans.where(F.col("kind") == code(kind))
-    users = near(of("user"), ("assign", "hex", "token"))
-    tokens = near(of("token"), ("access", "user", "endpoint"))
-    endpoints = near(near(of("endpoint"), ("access", "user")), ("assign", "hex", "token"))
+    spans = clear_parts(found)
+    of = lambda *kinds: spans.where(F.col("kind").isin([KINDS.index(k) for k in kinds]))
+    users = _near(of("user"), of("assign", "hex", "token"), SCOPE)
+    tokens = _near(of("token"), of("access", "user", "endpoint"), SCOPE)
+    endpoints = _near(_near(of("endpoint"), of("access", "user"), SCOPE), of("assign", "hex", "token"), SCOPE)
     every = users.unionAll(tokens).unionAll(endpoints)
     return every.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
 
