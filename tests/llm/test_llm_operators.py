@@ -325,7 +325,7 @@ def test_rest_of_a_large_group_links_once_per_component():
 
 
 def test_archives_round_trip(spark, monkeypatch):
-    monkeypatch.setattr(warc, "RECORDS", 4)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 400)
     html = [None, "", "dup", "dup", "dup\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n", "é\n\n", "x" * 100_000]
     rows = [(i, f"http://h/{i} x", html[i % 7]) for i in range(40)] + [(None, None, "dup"), (7, "u", "twice"), (7, "u", "twice")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
@@ -351,20 +351,59 @@ def test_archives_round_trip(spark, monkeypatch):
     assert warc.archive_pages(pages.where("false")).count() == 0
 
 
-def test_arc_versions_and_damage():
-    body = b"HTTP/1.0 200 OK\r\n\r\nhello"
-    for version in (1, 2):
-        block = warc.arc_version_block(version, "f.arc", "19990101000000")
-        good = warc.arc_record(version, "f.arc", len(block) + 1, "http://a b/", "19990102", "text/html", body)
-        dns = warc.arc_record(version, "f.arc", 0, "dns:a", "19990102030405", "text/dns", b"1.2.3.4")
-        records = list(warc.parse_arc(block + b"\n" + good + b"\n" + dns + b"\n" + good[:-2]))
-        assert [(r[2]["url"], r[4]) for r in records] == [("http://a%20b/", False), ("dns:a", False), ("http://a%20b/", True)]
-        first, second, third = (warc.synthesise(*r) for r in records)
-        assert first[3] == "1999-01-02T00:00:00Z" and first[5] == "response" and first[7] == b"hello" and second[5] == "resource" and third[10]
-        assert len({first[0], second[0], third[0]}) == 3
-    with pytest.raises(ValueError):
-        list(warc.parse_arc(b"filedesc://x 0.0.0.0 1 text/plain 8\n9 0 x\nURL\n"))
+BODY = b"HTTP/1.0 200 OK\r\n\r\nhello"
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_versions(version):
+    block = warc.arc_version_block(version, "f.arc", "19990101000000")
+    good = warc.arc_record(version, "f.arc", len(block) + 1, "http://a b/", "19990102", "text/html", BODY)
+    dns = warc.arc_record(version, "f.arc", 0, "dns:a", "19990102030405", "text/dns", b"1.2.3.4")
+    records = list(warc.parse_arc(block + b"\n" + good + b"\n" + dns + b"\n" + good[:-2]))
+    assert [(r[2]["url"], r[4]) for r in records] == [("http://a%20b/", ""), ("dns:a", ""), ("http://a%20b/", "length")]
+    first, second, third = (warc.synthesise("run", *r) for r in records)
+    assert first[3] == "1999-01-02T00:00:00Z" and first[5] == "response" and first[7] == b"hello" and second[5] == "resource" and third[10] == "length"
+    assert len({first[0], second[0], third[0]}) == 3
+    assert first[0] == warc.synthesise("run", *records[0])[0] != warc.synthesise("other run", *records[0])[0]
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_damage_costs_only_what_it_hit(version):
+    block = warc.arc_version_block(version, "f.arc", "19990101000000")
+    good = warc.arc_record(version, "f.arc", 0, "http://a/", "19990102", "text/html", BODY)
+    for bad in (b"\x00garbage\n", good.replace(b"http://a/ ", b"http:// "[:2], 1), good.split(b"\n")[0].rsplit(b" ", 1)[0] + b" many\n" + BODY, b"no line end"):
+        records = list(warc.parse_arc(block + b"\n" + good + b"\n" + bad + b"\n" + good + b"\n"))
+        assert [r[4] for r in records if r[2]].count("") == 2 and any(r[4] == "unspecified" for r in records)
+        assert all(warc.synthesise("run", *r)[5] == "resource" for r in records if not r[2])
+    assert [r[4] for r in warc.parse_arc(block + b"\n" + good + b"\nhalf a line")] == ["", "unspecified"]
+    unknown = b"filedesc://x 0.0.0.0 1 text/plain 10\n9 0 x\nURL\n"
+    assert [r[2]["url"] for r in warc.parse_arc(unknown + warc.arc_record(1, "", 0, "http://z/", "19990102", "a/b", b"z"))] == ["http://z/"]
     assert warc.warc_date("soon") == "1970-01-01T00:00:00Z"
+    whole = warc.warc_record("resource", [("WARC-Record-ID", "<urn:1>")], b"abc")
+    hurt = whole.replace(b"Content-Length: 3", b"Content-Length: x")
+    found = list(warc.parse_warc(hurt + b"\r\n\r\n" + whole + b"\r\n\r\n" + whole[:-1]))
+    assert [(b, h.get("warc-truncated")) for h, b in found] == [(b"abc", "unspecified"), (b"abc", None), (b"ab", "length")]
+
+
+def test_archives_are_seekable_members(spark, tmp_path):
+    import gzip
+    import pathlib
+
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i % 5}") for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    warc.write_arc(pages, str(tmp_path / "arc"))
+    converted = [warc.convert(warc.read_arc(spark, str(tmp_path / "arc"))) for _ in range(2)]
+    ids = [{r[0] for r in c.select("record_id").collect()} for c in converted]
+    assert len(ids[0]) == len(ids[1]) == 20 and not ids[0] & ids[1]
+    warc.write_warc(converted[0], str(tmp_path / "warc"))
+    files = [p.read_bytes() for p in pathlib.Path(tmp_path / "warc").glob("part-*")]
+    records = [r for data in files for r in warc.parse_warc(warc._gunzip(data))]
+    assert sum(h["warc-type"] == "revisit" for h, _ in records) == 15 and sum(h["warc-type"] == "response" for h, _ in records) == 5
+    assert all(h["warc-block-digest"] == "sha1:" + warc.payload_digest(b) for h, b in records if "warc-block-digest" in h)
+    data = files[0]
+    second = data.index(b"\x1f\x8b\x08", 2)
+    assert gzip.decompress(data[second:].rstrip(b"\n") if data.count(b"\x1f\x8b\x08") > 1 else data).startswith(b"WARC/1.1")
+    broken = data[: second + 12] + b"\xff\xff\xff" + data[second + 15 :]
+    assert 0 < len(list(warc.parse_warc(warc._gunzip(broken)))) <= len(list(warc.parse_warc(warc._gunzip(data))))
 
 
 def secrets_by_force(text):
@@ -402,12 +441,12 @@ def test_secret_scan_runs_no_python(spark, docs):
 
 def test_very_many_matches_in_one_text(spark):
     hexes = " ".join(f"{i:024x}" for i in range(60_000))
-    users = " ".join(f"user=bob{i} aB3{i:030d}x" for i in range(10_000))
+    users = " ".join(f"user=bob{i} aB3{i:030d}x" for i in range(2_000))
     rows = spark.createDataFrame([(1, hexes), (2, users), (3, "AKIA" + "A" * 100_000 + " user=eve1")], "doc_id long, text string")
     spans = lambda x: sorted((s["start"], s["kind"], s["end"]) for s in x)
     found = {r["doc_id"]: spans(r["spans"]) for r in secrets.scan(rows).collect()}
     assert found[1] == [(25 * i, 2, 25 * i + 24) for i in range(60_000)]
-    assert found[2] == secrets_by_force(users)[1] and len(found[2]) == 20_000
+    assert found[2] == secrets_by_force(users)[1] and len(found[2]) == 4_000
     assert found[3] == [(0, 1, 100_004)]
 
 

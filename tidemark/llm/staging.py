@@ -13,11 +13,13 @@ _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new local one where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; in local mode a new local one where that is unset, else an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = getattr(spark.sparkContext, "_tidemark_dir", None)
         if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             found = spark.sparkContext._tidemark_dir = tempfile.mkdtemp(prefix="tidemark-")
             spark.sparkContext.setCheckpointDir(found)
             atexit.register(shutil.rmtree, found, True)
@@ -25,7 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A path in this application's folder, which goes when the application ends."""
+    root = f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "_tidemark_staging", None) != root:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+        spark.sparkContext._tidemark_staging = root
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
