@@ -1,7 +1,9 @@
 """Byte-level BPE encoding and decoding by tree concatenation.
 
 A long text is halved until its leaves are short; the leaves are encoded
-independently of one another; then neighbours are joined upwards.  At a join a
+independently of one another, ``THREADS`` at a time (the encoder releases the
+interpreter's lock); then neighbours are joined upwards, the joins of one level
+side by side too.  At a join a
 window of tokens around the seam is encoded again, and the window grows until
 its first tokens equal the left side's and its last ones equal the right
 side's.  A sequence of BPE tokens is the encoding of its text if every two
@@ -29,6 +31,7 @@ from .staging import bound_batches, read_table
 from .textblock import TextBlock, blocks
 
 LEAF_BYTES = 8192
+THREADS = 4
 FIRST_WINDOW, AGREE = 16, 4
 BLOCK = 1 << 18
 
@@ -126,28 +129,31 @@ def join(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         w *= 2
 
 
-def join_all(v: Vocabulary, parts: list[np.ndarray]) -> np.ndarray:
+def join_all(v: Vocabulary, parts: list[np.ndarray], run=map) -> np.ndarray:
+    """The ids of neighbouring texts together; ``run`` maps the joins of one level."""
     while len(parts) > 1:
-        parts = [join(v, *parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        joined = list(run(lambda pair: join(v, *pair), zip(parts[::2], parts[1::2])))
+        parts = joined + parts[len(parts) & ~1 :]
     return parts[0]
 
 
-def encode_block(v: Vocabulary, t: TextBlock, threads: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the texts of a block end to end, and their offsets; ``threads`` leaves at a time."""
+def encode_block(v: Vocabulary, t: TextBlock, threads: int = THREADS) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the texts of a block end to end, and their offsets; ``threads`` leaves of long texts at a time."""
     leaves = leaf_offsets(t.buf, t.offs)
     data = t.buf.tobytes()
     texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(leaves.tolist(), leaves[1:].tolist())]
-    if threads > 1 and len(texts) > 1:
-        with ThreadPoolExecutor(threads) as pool:
-            coded = list(pool.map(v.encode, texts))
-    else:
+    if len(leaves) == len(t.offs):
         coded = [v.encode(x) for x in texts]
-    if len(leaves) > len(t.offs):
+    else:
         of = np.searchsorted(t.offs, leaves[:-1], "right") - 1
-        parts: list[list[np.ndarray]] = [[] for _ in range(t.n)]
-        for d, ids in zip(of.tolist(), coded, strict=True):
-            parts[d].append(ids)
-        coded = [join_all(v, x) if x else np.zeros(0, np.int32) for x in parts]
+        split = np.bincount(of, minlength=t.n) > 1
+        with ThreadPoolExecutor(threads) as pool:
+            run = pool.map if threads > 1 else map
+            long = iter(list(run(v.encode, [x for x, d in zip(texts, of.tolist()) if split[d]])))
+            parts: list[list[np.ndarray]] = [[] for _ in range(t.n)]
+            for x, d in zip(texts, of.tolist()):
+                parts[d].append(next(long) if split[d] else v.encode(x))
+            coded = [join_all(v, x, run) if x else np.zeros(0, np.int32) for x in parts]
     return np.concatenate([np.zeros(0, np.int32), *coded]), np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
 
 
@@ -181,7 +187,7 @@ def _spec(spark: SparkSession, path: str | None):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", threads: int = 1) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", threads: int = THREADS) -> DataFrame:
     """doc_id and ids (array<int>) of every document.  path: the vocabulary's JSON file, on the driver."""
     bound_batches(docs.sparkSession)
     spec = _spec(docs.sparkSession, path)
@@ -195,7 +201,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", threads: int = 1) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", threads: int = THREADS) -> DataFrame:
     """Of every document: number of ids, the digest of the ids and the digest of the text decoded from them."""
     bound_batches(docs.sparkSession)
     spec = _spec(docs.sparkSession, path)
