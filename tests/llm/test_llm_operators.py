@@ -84,7 +84,7 @@ def test_bad_hosts_lose_their_documents(spark):
     assert quality_rules.beta_prior(0.0, 0.0) == (0.5, 0.5) and quality_rules.beta_prior(0.5, 0.25) == (0.5, 0.5)
 
 
-def test_substrings_are_removed_as_by_brute_force(docs, rows, empty):
+def substrings_by_force(rows):
     last = 1 << 63
     lowest: dict[tuple, int] = {}
     for d, t, _ in rows:
@@ -99,11 +99,47 @@ def test_substrings_are_removed_as_by_brute_force(docs, rows, empty):
             if lowest[tuple(w[i : i + 13])] < (last if d is None else d):
                 gone.update(range(i, i + 13))
         expected.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return sorted(expected, key=repr)
+
+
+SUBSTRING = ("doc_id", "n_words", "n_removed", "kept")
+
+
+@pytest.mark.parametrize("fan, shard", [(64, 30_000), (2, 5)])
+def test_substrings_are_removed_as_by_brute_force(docs, rows, empty, monkeypatch, fan, shard):
+    monkeypatch.setattr(substring_dedup, "FAN", fan)
+    monkeypatch.setattr(substring_dedup, "SHARD_PHRASES", shard)
+    expected = substrings_by_force(rows)
     assert any(e[2] for e in expected)
-    assert got(substring_dedup.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept") == sorted(expected, key=repr)
+    assert got(substring_dedup.remove_repeats(docs), *SUBSTRING) == expected
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_nothing_is_removed_without_the_automata(docs, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(substring_dedup, "locate", lambda codes, offs, passages: np.zeros(0, np.int64))
+    assert substring_dedup.remove_repeats(docs).where("n_removed > 0").count() == 0
+
+
+def test_substrings_of_null_and_repeated_ids(spark, monkeypatch):
+    """Half of the ids are null, a quarter is one id, and neither is one task's work."""
+    import random
+
+    monkeypatch.setattr(substring_dedup, "FAN", 2)
+    rng = random.Random(4)
+    shared = [" ".join(f"s{k}w{j}" for j in range(rng.randint(13, 40))) for k in range(12)]
+    rows = []
+    for i in range(400):
+        body = " ".join([f"own{i}a", rng.choice(shared), f"own{i}b", rng.choice(shared), *(f"o{i}x{j}" for j in range(rng.randint(0, 60)))])
+        rows.append((None if i % 2 else 77 if i % 4 else i, body, "h"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert got(substring_dedup.remove_repeats(docs), *SUBSTRING) == substrings_by_force(rows)
+    chunks, levels, _ = substring_dedup._chunked(docs, "doc_id", "text")
+    sizes = [r["count"] for r in chunks.groupBy("chunk").count().collect()]
+    assert max(sizes) < 60 and len(levels) >= 32 and len(set(levels.tolist())) < len(levels)
+
+
 def test_packed_hashes_round_trip():
     import numpy as np
 
@@ -112,17 +148,19 @@ def test_packed_hashes_round_trip():
         assert substring_dedup.unpack(substring_dedup.pack(a)).tolist() == v
 
 
-def test_automata_come_upon_every_confirmed_window(monkeypatch):
+def test_every_window_of_a_passage_holds_one_phrase():
     import numpy as np
 
-    monkeypatch.setattr(substring_dedup, "SHARD_PHRASES", 3)
     rng = np.random.default_rng(1)
-    words = rng.integers(0, 50_000, 400).astype(np.uint64)
-    words[300:350] = words[20:70]
-    offs = np.array([0, 200, 400])
-    at = substring_dedup.TextBlock.window_starts(None, 13, offs)
-    confirmed = np.isin(at, np.arange(300, 338))
-    assert (substring_dedup.locate(words, offs, at, confirmed) == confirmed).all()
+    sizes = rng.integers(13, 60, 50)
+    offs = np.concatenate([[0], np.cumsum(sizes)])
+    codes = np.arange(offs[-1])
+    p = substring_dedup.Passages(codes, codes.astype(np.uint64) + np.uint64(1), offs, np.arange(50))
+    first = p.phrases()
+    for a, b in zip(offs, offs[1:]):
+        for w in range(a, b - 12):
+            assert ((first >= w) & (first + substring_dedup.PHRASE <= w + substring_dedup.WINDOW)).sum() == 1
+    assert (substring_dedup.locate(codes, np.array([0, len(codes)]), p) == first).all()
 
 
 def test_quality_scores(spark, docs, empty):
