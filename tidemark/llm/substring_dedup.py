@@ -37,7 +37,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -298,7 +298,8 @@ def _remove(key: tuple, docs: pa.Table, given: pa.Table) -> pa.Table:
         buf, where = bytes_of(part)
         raw, where = buf.tobytes(), where.tolist()
         raws += [raw[a:b] for a, b in zip(where, where[1:])]
-    codes = np.array([vocabulary.setdefault(w, len(vocabulary)) for raw in raws for w in raw.split()], np.int64)
+    # a word's code is the place where it stands first
+    codes = np.fromiter(map(vocabulary.setdefault, chain.from_iterable(raw.split() for raw in raws), count()), np.int64, int(c.offs[-1]))
     removed = np.zeros(len(codes), bool)
     passages = _passages(c, codes, vocabulary, given)
     if len(passages.window):
@@ -336,7 +337,7 @@ def id_ranges(rows: DataFrame, chunk_bytes: int) -> tuple[np.ndarray, np.ndarray
             for i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held, last = held + n, i
                 if held >= chunk_bytes:
-                    out.append((i, -(-held // chunk_bytes)))
+                    out.append((i, held // chunk_bytes))
                     held, last = 0, None
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], ["id", "n"])
         if last is not None:
