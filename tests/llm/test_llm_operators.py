@@ -368,34 +368,57 @@ def components_by_force(rows):
     return {d: find(d) for d in ids}
 
 
-@pytest.mark.parametrize("group", [256, 3])
-def test_near_duplicates(spark, docs, rows, empty, monkeypatch, group):
-    monkeypatch.setattr(near_dedup, "GROUP", group)
+@pytest.mark.parametrize("block, cluster", [(2048, 512), (4, 512), (2048, 3), (4, 3)])
+def test_near_duplicates(spark, docs, rows, empty, monkeypatch, block, cluster):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "CLUSTER", cluster)
     base = [f"n{i}" for i in range(60)]
     chain = [(5000 + k, " ".join([*base[:k], *(f"c{j}" for j in range(k))] + base[k:][: 60 - k]), "h") for k in range(0, 12)]
     copies = [(6000 + k, " ".join(base[:-1] + [f"tail{k}"]), "h") for k in range(12)]
-    more = spark.createDataFrame(chain + copies, "doc_id long, text string, source string")
-    every = docs.select("doc_id", "text", "source").unionAll(more)
-    comp = components_by_force(rows + chain + copies)
+    # one id with different texts, each of them near to another document
+    repeated = [(7000, " ".join(f"r{i}" for i in range(40)), "h"), (7000, " ".join(f"q{i}" for i in range(40)), "h"), (7001, " ".join(f"r{i}" for i in range(41)), "h"), (7002, " ".join(f"q{i}" for i in range(41)), "h")]
+    extra = chain + copies + repeated + repeated[:1]
+    every = docs.select("doc_id", "text", "source").unionAll(spark.createDataFrame(extra, "doc_id long, text string, source string"))
+    comp = components_by_force(rows + extra)
+    assert comp[7001] == comp[7002] == 7000
     expected = []
-    for d, t, _ in rows + chain + copies:
+    for d, t, _ in rows + extra:
         c = d if not shingles(t) else None if d is None else comp[d]
         expected.append((d, len(shingles(t)), c, d is None or d == c))
     assert got(near_dedup.near_duplicates(every), "doc_id", "n_shingles", "component_id", "kept") == sorted(expected, key=repr)
-    if group == 256:
+    if (block, cluster) == (2048, 512):
         kept = near_dedup.keep_one(docs)
         assert kept.columns == docs.columns
         assert near_dedup.near_duplicates(empty).count() == 0
 
 
-def test_rest_of_a_large_group_links_once_per_component():
-    import pyarrow as pa
+def test_postings_count_matches_as_by_comparing_all():
+    import numpy as np
 
-    base = [f"n{i}" for i in range(60)]
-    text = lambda k: " ".join([*base[:-k], *(f"t{k}x{j}" for j in range(k))])
-    table = pa.table({"rep": [1, 2, 3, 9], "text": [text(1), text(2), text(3), "nothing like the others at all here"], "rest": [True, False, False, False], "component": [1, 2, 2, 9]})
-    assert near_dedup.link_rest(table).to_pylist() == [{"a": 1, "b": 2}]
-    assert near_dedup.link_block(table.select(["rep", "text"])).num_rows == 2
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 1 << 30, (60, near_dedup.COORDINATES)).astype(np.int32)
+    for d in range(1, 60):
+        take = rng.random(near_dedup.COORDINATES) < rng.choice([0.3, 0.5, 0.55, 0.6, 0.9])
+        sig[d, take] = sig[rng.integers(0, d), take]
+    postings = near_dedup.Postings(sig)
+    for d in range(60):
+        n = (sig == sig[d]).sum(1)
+        found, count = postings.matches(d, np.arange(60) != d)
+        want = np.flatnonzero((n >= near_dedup.MATCHES) & (np.arange(60) != d))
+        assert found.tolist() == want.tolist() and count.tolist() == n[want].tolist()
+
+
+def test_documents_with_a_common_half_stay_out_of_clusters(spark):
+    """A site's boilerplate: what meets under a posting grows with the documents, not with their square."""
+
+    def met(n):
+        rows = [(i, " ".join([*(f"menu{j}" for j in range(60)), *(f"d{i}w{j}" for j in range(60))])) for i in range(n)]
+        signed = near_dedup.signatures(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        posts = near_dedup.prefix_postings(signed.select(F.col("doc_id").alias("rep"), "signature"))
+        return posts.count(), near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("kept").count()
+
+    small, large = met(200), met(800)
+    assert (small[1], large[1]) == (200, 800) and large[0] <= 6 * small[0] <= 6 * 200
 
 
 def test_archives_round_trip(spark, monkeypatch):

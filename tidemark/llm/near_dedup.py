@@ -4,28 +4,34 @@ A text's set holds its distinct runs of five words, A-Z folded; a text of fewer
 words has one, its whole sequence.  Texts with equal sets form a class, and the
 class's smallest id stands for it from then on.
 
-Each class is posted under every coordinate of its MinHash signature together
-with the value there.  Classes that agree in ``MATCHES`` of the ``COORDINATES``
-postings must meet in one of their ``PREFIX`` rarest, so only those are joined,
-and values that no other class has are skipped altogether.  All classes that
-meet under a posting go to the group of the posting's smallest class; within
-groups collisions are counted, pairs below the threshold are dropped, and the
-rest are confirmed on the full sets.  A class that is already linked to the
-growing component of its group is skipped, which never changes a component.
+1. Each class is posted under every coordinate of its MinHash signature together
+   with the value there.  Classes that agree in ``MATCHES`` of the ``COORDINATES``
+   must meet in one of the ``PREFIX`` rarest postings of each, so only those are
+   joined; postings that no other class has take up room in the prefix, so classes
+   of which most postings are their own hardly meet at all.
+2. All classes that meet under a posting go to the group of the posting's smallest
+   class, with their signatures.  There the postings are inverted lists: for one
+   class, the ``PREFIX`` shortest of its lists are merged and their collisions
+   counted, the long lists are only probed for what came up, and pairs under
+   ``MATCHES`` are dropped.  Classes that are already reached are skipped, which
+   never changes what is connected.  The rest are candidates.
+3. Connected candidates form clusters; the texts go there, once each, and pairs
+   are confirmed on the full sets, skipping classes that are already linked.
+
+Groups of more than ``BLOCK`` classes and clusters of more than ``CLUSTER`` classes
+or ``CLUSTER_SHINGLES`` shingles are cut into blocks, each with the smallest class
+added.  What isn't in the main component after that is held against every block,
+by signatures alone; of clusters, the texts of the pairs that match and are not
+connected yet are then compared pair by pair, first the best pair for each class
+and component, then those still between components.
 
 A pair with similarity 0.75 agrees in fewer than ``MATCHES`` coordinates with a
-probability of 2.4e-7.
-
-Groups of more than ``GROUP`` classes are cut into blocks.  The first pass links
-within blocks, each with the group's smallest class added; then whatever is not
-in the group's main component is compared with every block.  So large groups of
-near copies cost as many comparisons as they have classes, and no link between
-components is lost.
+probability of 1.9e-7.
 
 Defined results: texts without words have an empty set and are linked with
 nothing; so are null texts and rows with a null id (their component is null, and
-they are kept); rows that repeat an id are one node; an empty table gives an
-empty result.  Only id and text are read.
+they are kept); rows that repeat an id are one node, linked by any of its texts;
+an empty table gives an empty result.  Only id and text are read.
 """
 
 from __future__ import annotations
@@ -39,12 +45,13 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .staging import bound_batches, materialize, read_table
-from .textblock import TextBlock, U, blocks, mix, per_text, repeated, stream
+from .textblock import TextBlock, U, blocks, column, mix, per_text, repeated, stream
 
 SHINGLE, SIMILARITY_PERCENT = 5, 75
-COORDINATES, MATCHES = 32, 11
+COORDINATES, MATCHES = 128, 70
 PREFIX = COORDINATES - MATCHES + 1
-GROUP = 256
+#: Signatures in a block of a group; texts in a block of a cluster, and their shingles.
+BLOCK, CLUSTER, CLUSTER_SHINGLES = 2048, 512, 1 << 21
 
 _FLIP, _SCALE = stream(COORDINATES, 303), stream(COORDINATES, 404) | U(1)
 
@@ -68,7 +75,7 @@ def signatures_of(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, a fingerprint of the set (f1, f2) and its signature (null for an empty set)."""
+    """doc_id, a hash of the text (own), n_shingles, a fingerprint of the set (f1, f2) and its signature (empty for an empty set)."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,10 +93,10 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 sig = signatures_of(own, starts)
             where = np.concatenate([[0], np.cumsum(full * COORDINATES)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(where), pa.array(sig.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), lists], ["doc_id", "n_shingles", "f1", "f2", "signature"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), lists], ["doc_id", "own", "n_shingles", "f1", "f2", "signature"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, signature array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, own long, n_shingles long, f1 long, f2 long, signature array<int>")
 
 
 def prefix_postings(classes: DataFrame) -> DataFrame:
@@ -102,112 +109,256 @@ def prefix_postings(classes: DataFrame) -> DataFrame:
     return shared.where(room > 0).select("rep", F.explode(F.slice("own", 1, room)).alias("p")).select("rep", F.col("p.posting").alias("posting"))
 
 
-def _sets(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    reps, sets = [], []
-    for rows in table.combine_chunks().to_batches():
-        for part, t in blocks(iter([rows]), "text"):
-            hashes, offs = shingles(t)
-            reps += part.column(part.schema.get_field_index("rep")).to_pylist()
-            sets += [np.unique(hashes[a:b]) for a, b in zip(offs, offs[1:])]
-    flat = np.concatenate(sets)
-    starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    return np.array(reps, np.int64), sets, signatures_of(flat, starts)
+class Postings:
+    """The inverted lists of some signatures."""
+
+    def __init__(self, sig: np.ndarray):
+        self.sig, m = sig, np.arange(len(sig))[:, None]
+        self.order = np.argsort(sig, axis=0, kind="stable")
+        ranked = np.take_along_axis(sig, self.order, 0)
+        new = np.ones(sig.shape, bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        begin = np.maximum.accumulate(np.where(new, m, 0), axis=0)
+        last = np.ones(sig.shape, bool)
+        last[:-1] = new[1:]
+        end = np.minimum.accumulate(np.where(last, m + 1, len(sig))[::-1], axis=0)[::-1]
+        self.begin, self.end = np.empty_like(begin), np.empty_like(end)
+        np.put_along_axis(self.begin, self.order, begin, 0)
+        np.put_along_axis(self.end, self.order, end, 0)
+
+    def matches(self, d: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the wanted signatures, those that agree with ``d``'s in ``MATCHES`` coordinates, and in how many."""
+        size = self.end[d] - self.begin[d]
+        by = np.argsort(size, kind="stable")
+        short, long = by[:PREFIX], by[PREFIX:]
+        n = size[short]
+        at = np.repeat(self.begin[d, short] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        count = np.bincount(self.order[at, np.repeat(short, n)], minlength=len(self.sig))
+        found = np.flatnonzero((count > 0) & wanted)
+        if not len(found):
+            return found, found
+        count = count[found] + (self.sig[found[:, None], long] == self.sig[d, long]).sum(1)
+        good = count >= MATCHES
+        return found[good], count[good]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Sorted rows by their keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        cols = [np.asarray(column(batch, k)) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows] if batch.num_rows else []
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(c[a] for c in cols)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _per_group(rows: DataFrame, keys: tuple[str, ...], work, schema: str) -> DataFrame:
+    """``work`` on the rows of each key, in sorted streams; it returns a tuple of arrays for the schema's longs."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, n = [], 0
+        for table in _groups(batches, keys):
+            found = work(table)
+            if len(found[0]):
+                out.append(found)
+                n += len(found[0])
+            if n >= 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names)
+                out, n = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _longs(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].combine_chunks().to_numpy(zero_copy_only=False)
 
 
-class _Postings:
-    """Sizes of intersections of one set with many."""
+def _signatures(table: pa.Table) -> np.ndarray:
+    return table["signature"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets])
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+
+def _reach(n: int, found_by) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect n nodes as all links would: from a node to those not reached yet that ``found_by`` gives for it."""
+    left = np.ones(n, bool)
+    a: list[np.ndarray] = []
+    b: list[np.ndarray] = []
+    for first in range(n):
+        todo = [first] if left[first] else []
+        left[first] = False
+        while todo and left.any():
+            d = todo.pop()
+            found = found_by(d, left)
+            left[found] = False
+            todo += found.tolist()
+            a.append(np.full(len(found), d))
+            b.append(found)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(a or none).astype(np.int64), np.concatenate(b or none).astype(np.int64)
+
+
+def candidate_block(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the classes of one block of a group as all candidate pairs would."""
+    reps, postings = _longs(table, "rep"), Postings(_signatures(table))
+    a, b = _reach(len(reps), lambda d, left: postings.matches(d, left)[0])
+    return reps[a], reps[b]
+
+
+def _unique_sets(t: TextBlock) -> list[np.ndarray]:
+    hashes, offs = shingles(t)
+    return [np.unique(hashes[a:b]) for a, b in zip(offs, offs[1:])]
+
+
+class _Sets:
+    """The shingle sets of the texts of a table, and the sizes of their intersections."""
+
+    def __init__(self, table: pa.Table):
+        self.sets: list[np.ndarray] = []
+        for rows in table.select(["text"]).combine_chunks().to_batches():
+            for _, t in blocks(iter([rows]), "text"):
+                self.sets += _unique_sets(t)
+        self.sizes = np.array([len(s) for s in self.sets])
+        flat, owner = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.sizes)
         order = np.argsort(flat, kind="stable")
         self.values, self.owner = flat[order], owner[order]
 
-    def shared(self, own: np.ndarray) -> np.ndarray:
+    def linked(self, d: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others are as similar to ``d`` as a link takes."""
+        own = self.sets[d]
         lo, hi = np.searchsorted(self.values, own, "left"), np.searchsorted(self.values, own, "right")
-        size = hi - lo
-        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return np.bincount(self.owner[at], minlength=len(self.sizes))
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        shared = np.bincount(self.owner[at], minlength=len(self.sets))[others]
+        return others[_similar(shared, len(own), self.sizes[others])]
 
 
-def _linked(shared: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
+def _similar(shared, a, b):
     return 100 * shared >= SIMILARITY_PERCENT * (a + b - shared)
 
 
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def link_block(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the classes of one block of a cluster as all links would."""
+    reps, postings, sets = _longs(table, "rep"), Postings(_signatures(table)), _Sets(table)
 
+    def found_by(d: int, left: np.ndarray) -> np.ndarray:
+        found = postings.matches(d, left)[0]
+        return sets.linked(d, found) if len(found) else found
 
-def link_block(table: pa.Table) -> pa.Table:
-    """Edges that connect the linked classes of one block as all links would."""
-    reps, sets, sig = _sets(table)
-    postings, left = None, np.ones(len(reps), bool)
-    a: list[int] = []
-    b: list[int] = []
-    for first in range(len(reps)):
-        todo = [first] if left[first] else []
-        left[first] = False
-        while todo:
-            d = todo.pop()
-            open_ = np.flatnonzero(left)
-            open_ = open_[(sig[open_] == sig[d]).sum(1) >= MATCHES]
-            if not len(open_):
-                continue
-            postings = postings or _Postings(sets)
-            found = open_[_linked(postings.shared(sets[d])[open_], len(sets[d]), postings.sizes[open_])]
-            left[found] = False
-            todo += found.tolist()
-            a += [reps[d]] * len(found)
-            b += reps[found].tolist()
-    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGES)
-
-
-def link_rest(table: pa.Table) -> pa.Table:
-    """Edges between the classes marked ``rest`` and the others of a block, of another component."""
-    reps, sets, sig = _sets(table)
-    rest, comp = np.array(table["rest"].combine_chunks().to_pylist(), bool), np.array(table["component"].to_pylist(), np.int64)
-    ours, others = np.flatnonzero(rest), np.flatnonzero(~rest)
-    a: list[int] = []
-    b: list[int] = []
-    if len(ours) and len(others):
-        postings = _Postings([sets[i] for i in others])
-        for d in ours.tolist():
-            open_ = np.flatnonzero(comp[others] != comp[d])
-            open_ = open_[(sig[others[open_]] == sig[d]).sum(1) >= MATCHES]
-            if not len(open_):
-                continue
-            found = others[open_[_linked(postings.shared(sets[d])[open_], len(sets[d]), postings.sizes[open_])]]
-            for c in np.unique(comp[found]).tolist():
-                a.append(reps[d])
-                b.append(int(reps[found[comp[found] == c][0]]))
+    a, b = _reach(len(reps), found_by)
+    return reps[a], reps[b]
+
+
+def cross_block(table: pa.Table, once: bool = False) -> tuple[np.ndarray, ...]:
+    """Candidate pairs a, b of two components, and their matches: a is marked ``rest``, b is not; with ``once`` one for each two components."""
+    reps, rest, comp = _longs(table, "rep"), _longs(table, "rest"), _longs(table, "component").copy()
+    if rest.all() or not rest.any():
+        return (np.zeros(0, np.int64),) * 3
+    postings, out = Postings(_signatures(table)), []
+    for d in np.flatnonzero(rest).tolist():
+        found, n = postings.matches(d, ~rest & (comp != comp[d]))
+        if once:
+            _, first = np.unique(comp[found], return_index=True)
+            for c in comp[found[first]].tolist():
                 comp[comp == c] = comp[d]
-    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGES)
-
-
-def links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes that meet in a group; ``members`` has grp and rep."""
-    sizes = materialize(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-    n_blocks = F.ceil(F.col("n") / GROUP).cast("int")
-    dealt = members.join(sizes, "grp").withColumn("n_blocks", n_blocks)
-    block = F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")
-    own = F.when(F.col("rep") == F.col("grp"), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array(block))
-    # always dealt out by id: a plan that broadcast few groups and shuffled for many would cost several times more from some size on
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").hint("merge")
-    dealt = dealt.select("grp", "rep", "n_blocks", block.alias("home"), own.alias("blocks")).join(texts, "rep")
-    dealt = materialize(dealt, "dealt")  # the texts of all groups; the corpus isn't shuffled again
-    first = dealt.select("grp", "rep", "text", F.explode("blocks").alias("block")).groupBy("grp", "block").applyInArrow(link_block, "a long, b long")
-    first = materialize(first, "links")
-    large = dealt.where("n_blocks > 1").select("grp", "rep", "n_blocks", "home", "text")
-    if large.limit(1).count() == 0:
-        return first
-    known = components(first).withColumnRenamed("node", "rep")
-    large = materialize(large.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "large")
+            found, n = found[first], n[first]
+        out.append((np.full(len(found), reps[d]), reps[found], n))
+    return tuple(np.concatenate(c).astype(np.int64) for c in zip(*out))
+
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """A row for its own block, and for all blocks if it is the group's smallest class."""
+    own = F.when(F.col("rep") == F.col("grp"), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array("home"))
+    return rows.withColumn("block", F.explode(own))
+
+
+def _home() -> F.Column:
+    return F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int").alias("home")
+
+
+def _across(large: DataFrame, per_block: int) -> DataFrame:
+    """Signatures of what is outside of its group's main component, and of everything, dealt out so that each of the one meets each of the other."""
     main = large.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     rest = materialize(large.join(materialize(main, "main"), "grp").where("component <> main").drop("main"), "rest")
-    rest_blocks = materialize(rest.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("rest_blocks")), "rest-blocks")
-    rest = rest.join(rest_blocks, "grp").select("grp", "rep", "text", "component", F.pmod(F.xxhash64("rep", F.lit(1)), "rest_blocks").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), F.lit(True).alias("rest"))
-    whole = large.join(rest_blocks, "grp").select("grp", "rep", "text", "component", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("part"), F.col("home").alias("block"), F.lit(False).alias("rest"))
-    second = rest.unionAll(whole).groupBy("grp", "part", "block").applyInArrow(link_rest, "a long, b long")
-    return first.unionAll(materialize(second, "links"))
+    parts = materialize(rest.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / per_block).cast("int").alias("parts")), "parts")
+    part = F.pmod(F.xxhash64("rep", F.lit(1)), "parts").cast("int").alias("part")
+    shown = ["grp", "rep", "signature", "component"]
+    ours = rest.join(parts, "grp").select(*shown, part, F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), F.lit(True).alias("rest"))
+    every = large.join(parts, "grp").select(*shown, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("home").alias("block"), F.lit(False).alias("rest"))
+    return ours.unionAll(every)
+
+
+def _with_components(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    return rows.join(components(edges).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+_EDGES = "a long, b long"
+
+
+def candidates(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect classes as all pairs with ``MATCHES`` would; ``members`` has grp and rep."""
+    sizes = materialize(members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "sizes")
+    dealt = members.join(sizes, "grp").select("grp", "rep", "n_blocks", _home())
+    dealt = materialize(dealt.join(classes.select("rep", "signature").hint("merge"), "rep"), "members")
+    first = materialize(_per_group(_blocked(dealt).select("grp", "block", "rep", "signature"), ("grp", "block"), candidate_block, _EDGES), "candidates")
+    large = dealt.where("n_blocks > 1")
+    if large.limit(1).count() == 0:
+        return first
+    spread = _across(materialize(_with_components(large, first), "large"), BLOCK)
+    second = _per_group(spread, ("grp", "part", "block"), lambda t: cross_block(t, once=True)[:2], _EDGES)
+    return first.unionAll(materialize(second, "candidates"))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of classes, those that are links, by the full sets of both texts."""
+    own = lambda side: texts.select(F.col("rep").alias(side), F.col("text").alias(f"text_{side}"))
+    both = pairs.select("a", "b").join(own("a"), "a").join(own("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, t in blocks(iter([batch]), "text_a"):
+                sides = [_unique_sets(t), [s for _, x in blocks(iter([rows]), "text_b") for s in _unique_sets(x)]]
+                keep = [bool(_similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))) for x, y in zip(*sides, strict=True)]
+                yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, _EDGES)
+
+
+def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect classes as all links would; ``clusters`` has rep and grp, the cluster's smallest class."""
+    sized = classes.select("rep", "n_shingles").join(clusters, "rep")
+    sizes = sized.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CLUSTER), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int").alias("n_blocks"))
+    known = materialize(clusters.join(materialize(sizes, "sizes"), "grp").select("grp", "rep", "n_blocks", _home()), "clusters")
+    # always dealt out by id: a plan that broadcast few clusters and shuffled for many would cost several times more from some size on
+    texts = docs.select(F.col("doc_id").alias("rep"), "text", F.xxhash64("text").alias("own")).hint("merge")
+    dealt = known.join(classes.select("rep", "signature", "own").hint("merge"), "rep").join(texts, ["rep", "own"]).dropDuplicates(["rep", "own"])
+    dealt = materialize(dealt.drop("own"), "dealt")
+    first = materialize(_per_group(_blocked(dealt).select("grp", "block", "rep", "signature", "text"), ("grp", "block"), link_block, _EDGES), "links")
+    large = dealt.where("n_blocks > 1")
+    if large.limit(1).count() == 0:
+        return first
+    parts = materialize(_with_components(large.drop("text"), first), "large")
+    pairs = materialize(_per_group(_across(parts, BLOCK), ("grp", "part", "block"), cross_block, "a long, b long, n long"), "pairs")
+    texts = large.select("rep", "text")
+    of = lambda table, side: table.select(F.col("rep").alias(side), F.col("component").alias(f"of_{side}"))
+    best = pairs.join(of(parts, "b"), "b").groupBy("a", "of_b").agg(F.max_by("b", F.struct("n", "b")).alias("b")).select("a", "b")
+    best = materialize(best, "best")
+    found = first.unionAll(materialize(_confirmed(best, texts), "links"))
+    now = materialize(_with_components(parts.select("rep"), found), "components")
+    open_ = pairs.join(best, ["a", "b"], "left_anti").join(of(now, "a"), "a").join(of(now, "b"), "b").where("of_a <> of_b")
+    return found.unionAll(materialize(_confirmed(open_, texts), "links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,13 +366,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(signatures(docs), "signatures")
     key = ["n_shingles", "f1", "f2"]
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(key).agg(F.min("doc_id").alias("rep"), F.any_value("signature").alias("signature"))
-    classes = materialize(classes, "classes")
+    one = F.min_by(F.struct("signature", "own"), F.struct("doc_id", "own"))
+    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(key).agg(F.min("doc_id").alias("rep"), one.alias("one"))
+    classes = materialize(classes.select(*key, "rep", "one.signature", "one.own"), "classes")
     posts = materialize(prefix_postings(classes.select("rep", "signature")), "postings")
     heads = posts.groupBy("posting").agg(F.min("rep").alias("grp"), F.count(F.lit(1)).alias("n")).where("n > 1").select("posting", "grp")
     heads = materialize(heads, "heads")
     members = materialize(posts.join(heads, "posting").select("grp", "rep").distinct(), "members")
-    found = components(links(docs, members).unionAll(_same_id(signed, classes, key)))
+    clusters = components(candidates(classes, members)).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    found = components(links(docs, classes, clusters).unionAll(_same_id(signed, classes, key)))
     classes = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     joined = signed.select("doc_id", *key).join(classes, key, "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
