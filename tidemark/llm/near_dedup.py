@@ -19,11 +19,12 @@ class's smallest id stands for it from then on.
    are confirmed on the full sets, skipping classes that are already linked.
 
 Groups of more than ``BLOCK`` classes and clusters of more than ``CLUSTER`` classes
-or ``CLUSTER_SHINGLES`` shingles are cut into blocks, each with the smallest class
-added.  What isn't in the main component after that is held against every block,
-by signatures alone; of clusters, the texts of the pairs that match and are not
-connected yet are then compared pair by pair, first the best pair for each class
-and component, then those still between components.
+or ``CLUSTER_SHINGLES`` shingles are cut into blocks, each with a hub added: the
+smallest class of a group, that with the most shared postings of a cluster.  What
+isn't in the main component after that is held against every block, by signatures
+alone.  Of clusters, only classes that a match leads to another component then
+have their texts sent once more, to be confirmed block by block; no pair is ever
+written.
 
 A pair with similarity 0.75 agrees in fewer than ``MATCHES`` coordinates with a
 probability of 1.9e-7.
@@ -100,13 +101,13 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def prefix_postings(classes: DataFrame) -> DataFrame:
-    """posting, rep: of every class the rarest postings that it shares with others, as many as the prefix has room for."""
+    """rep, posting, n: of every class the rarest postings that it shares with others, as many as the prefix has room for."""
     posts = classes.select("rep", F.posexplode("signature").alias("at", "value")).select("rep", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long")).alias("posting"))
     # written first: a join straight on an aggregation can't split a value that very many classes have
     often = materialize(posts.groupBy("posting").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     shared = posts.join(often, "posting").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "posting"))).alias("own"))
     room = F.lit(PREFIX - COORDINATES) + F.size("own")  # what the class's postings of its own don't take
-    return shared.where(room > 0).select("rep", F.explode(F.slice("own", 1, room)).alias("p")).select("rep", F.col("p.posting").alias("posting"))
+    return shared.where(room > 0).select("rep", F.explode(F.slice("own", 1, room)).alias("p")).select("rep", F.col("p.posting").alias("posting"), F.col("p.n").alias("n"))
 
 
 class Postings:
@@ -261,26 +262,59 @@ def link_block(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return reps[a], reps[b]
 
 
-def cross_block(table: pa.Table, once: bool = False) -> tuple[np.ndarray, ...]:
-    """Candidate pairs a, b of two components, and their matches: a is marked ``rest``, b is not; with ``once`` one for each two components."""
-    reps, rest, comp = _longs(table, "rep"), _longs(table, "rest"), _longs(table, "component").copy()
-    if rest.all() or not rest.any():
-        return (np.zeros(0, np.int64),) * 3
-    postings, out = Postings(_signatures(table)), []
-    for d in np.flatnonzero(rest).tolist():
-        found, n = postings.matches(d, ~rest & (comp != comp[d]))
-        if once:
+def _crossing(table: pa.Table, links) -> list[tuple[int, np.ndarray]]:
+    """Of rows marked ``rest``, each with the others of another component that ``links`` gives for it, one for each component."""
+    rest, comp = _longs(table, "rest"), _longs(table, "component").copy()
+    out = []
+    if rest.any() and not rest.all():
+        for d in np.flatnonzero(rest).tolist():
+            found = links(d, ~rest & (comp != comp[d]))
             _, first = np.unique(comp[found], return_index=True)
             for c in comp[found[first]].tolist():
                 comp[comp == c] = comp[d]
-            found, n = found[first], n[first]
-        out.append((np.full(len(found), reps[d]), reps[found], n))
-    return tuple(np.concatenate(c).astype(np.int64) for c in zip(*out))
+            if len(found):
+                out.append((d, found[first]))
+    return out
+
+
+def _edges(reps: np.ndarray, found: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate([np.full(len(x), reps[d]) for d, x in found] or none).astype(np.int64), np.concatenate([reps[x] for _, x in found] or none).astype(np.int64)
+
+
+def cross_candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the components of the rows marked ``rest`` with those of the others as all candidate pairs would."""
+    postings = Postings(_signatures(table))
+    return _edges(_longs(table, "rep"), _crossing(table, lambda d, wanted: postings.matches(d, wanted)[0]))
+
+
+def cross_links(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The same for links, confirmed on the texts."""
+    postings, sets = Postings(_signatures(table)), _Sets(table)
+
+    def links(d: int, wanted: np.ndarray) -> np.ndarray:
+        found = postings.matches(d, wanted)[0]
+        return sets.linked(d, found) if len(found) else found
+
+    return _edges(_longs(table, "rep"), _crossing(table, links))
+
+
+def cross_wanted(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """grp, part, block, rep and role of the rows that have a candidate of another component on the other side."""
+    rest, comp = _longs(table, "rest"), _longs(table, "component")
+    wanted = np.zeros(len(rest), bool)
+    if rest.any() and not rest.all():
+        postings = Postings(_signatures(table))
+        for d in np.flatnonzero(rest).tolist():
+            found = postings.matches(d, ~rest & (comp != comp[d]))[0]
+            wanted[found] = True
+            wanted[d] = len(found) > 0
+    return tuple(_longs(table, c)[wanted].astype(np.int64) for c in ("grp", "part", "block", "rep", "rest"))
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
-    """A row for its own block, and for all blocks if it is the group's smallest class."""
-    own = F.when(F.col("rep") == F.col("grp"), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array("home"))
+    """A row for its own block, and for all blocks if it is the group's hub."""
+    own = F.when(F.col("rep") == F.col("hub"), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array("home"))
     return rows.withColumn("block", F.explode(own))
 
 
@@ -312,53 +346,36 @@ def candidates(classes: DataFrame, members: DataFrame) -> DataFrame:
     sizes = materialize(members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "sizes")
     dealt = members.join(sizes, "grp").select("grp", "rep", "n_blocks", _home())
     dealt = materialize(dealt.join(classes.select("rep", "signature").hint("merge"), "rep"), "members")
-    first = materialize(_per_group(_blocked(dealt).select("grp", "block", "rep", "signature"), ("grp", "block"), candidate_block, _EDGES), "candidates")
+    first = materialize(_per_group(_blocked(dealt.withColumn("hub", F.col("grp"))).select("grp", "block", "rep", "signature"), ("grp", "block"), candidate_block, _EDGES), "candidates")
     large = dealt.where("n_blocks > 1")
     if large.limit(1).count() == 0:
         return first
     spread = _across(materialize(_with_components(large, first), "large"), BLOCK)
-    second = _per_group(spread, ("grp", "part", "block"), lambda t: cross_block(t, once=True)[:2], _EDGES)
+    second = _per_group(spread, ("grp", "part", "block"), cross_candidates, _EDGES)
     return first.unionAll(materialize(second, "candidates"))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes, those that are links, by the full sets of both texts."""
-    own = lambda side: texts.select(F.col("rep").alias(side), F.col("text").alias(f"text_{side}"))
-    both = pairs.select("a", "b").join(own("a"), "a").join(own("b"), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, t in blocks(iter([batch]), "text_a"):
-                sides = [_unique_sets(t), [s for _, x in blocks(iter([rows]), "text_b") for s in _unique_sets(x)]]
-                keep = [bool(_similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))) for x, y in zip(*sides, strict=True)]
-                yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, _EDGES)
-
-
-def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, posts: DataFrame) -> DataFrame:
     """Edges (a, b) that connect classes as all links would; ``clusters`` has rep and grp, the cluster's smallest class."""
-    sized = classes.select("rep", "n_shingles").join(clusters, "rep")
-    sizes = sized.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CLUSTER), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int").alias("n_blocks"))
-    known = materialize(clusters.join(materialize(sizes, "sizes"), "grp").select("grp", "rep", "n_blocks", _home()), "clusters")
+    weight = posts.groupBy("rep").agg(F.sum("n").alias("weight"))
+    sized = classes.select("rep", "n_shingles").join(clusters, "rep").join(weight, "rep")
+    n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / CLUSTER), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int")
+    sizes = sized.groupBy("grp").agg(n_blocks.alias("n_blocks"), F.max_by("rep", F.struct("weight", "rep")).alias("hub"))
+    known = materialize(clusters.join(materialize(sizes, "sizes"), "grp").select("grp", "rep", "hub", "n_blocks", _home()), "clusters")
     # always dealt out by id: a plan that broadcast few clusters and shuffled for many would cost several times more from some size on
     texts = docs.select(F.col("doc_id").alias("rep"), "text", F.xxhash64("text").alias("own")).hint("merge")
     dealt = known.join(classes.select("rep", "signature", "own").hint("merge"), "rep").join(texts, ["rep", "own"]).dropDuplicates(["rep", "own"])
-    dealt = materialize(dealt.drop("own"), "dealt")
+    dealt = materialize(dealt, "dealt")
     first = materialize(_per_group(_blocked(dealt).select("grp", "block", "rep", "signature", "text"), ("grp", "block"), link_block, _EDGES), "links")
     large = dealt.where("n_blocks > 1")
     if large.limit(1).count() == 0:
         return first
+    keys = ("grp", "part", "block")
     parts = materialize(_with_components(large.drop("text"), first), "large")
-    pairs = materialize(_per_group(_across(parts, BLOCK), ("grp", "part", "block"), cross_block, "a long, b long, n long"), "pairs")
-    texts = large.select("rep", "text")
-    of = lambda table, side: table.select(F.col("rep").alias(side), F.col("component").alias(f"of_{side}"))
-    best = pairs.join(of(parts, "b"), "b").groupBy("a", "of_b").agg(F.max_by("b", F.struct("n", "b")).alias("b")).select("a", "b")
-    best = materialize(best, "best")
-    found = first.unionAll(materialize(_confirmed(best, texts), "links"))
-    now = materialize(_with_components(parts.select("rep"), found), "components")
-    open_ = pairs.join(best, ["a", "b"], "left_anti").join(of(now, "a"), "a").join(of(now, "b"), "b").where("of_a <> of_b")
-    return found.unionAll(materialize(_confirmed(open_, texts), "links"))
+    wanted = materialize(_per_group(_across(parts, CLUSTER), keys, cross_wanted, "grp long, part long, block long, rep long, rest long"), "wanted")
+    texts = large.select("rep", "own", "text").join(parts.select("rep", "own", "signature", "component"), ["rep", "own"])
+    second = _per_group(wanted.withColumn("rest", F.col("rest") == 1).distinct().join(texts.hint("merge"), "rep"), keys, cross_links, _EDGES)
+    return first.unionAll(materialize(second, "links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,7 +391,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = materialize(heads, "heads")
     members = materialize(posts.join(heads, "posting").select("grp", "rep").distinct(), "members")
     clusters = components(candidates(classes, members)).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-    found = components(links(docs, classes, clusters).unionAll(_same_id(signed, classes, key)))
+    found = components(links(docs, classes, clusters, posts).unionAll(_same_id(signed, classes, key)))
     classes = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     joined = signed.select("doc_id", *key).join(classes, key, "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
