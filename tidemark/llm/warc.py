@@ -7,10 +7,10 @@ with a payload that another record has into revisits, ``write_warc`` and
 ``read_warc`` write and parse WARC/1.1 archives.
 
 Archives are written by Spark's text writer, a row for each file, and read by its
-binary reader, so they can be on any file system that Spark knows.  Every record
-is a gzip member of its own, so readers can seek to it; a file begins with its
-version or warcinfo record and ends at ``ARCHIVE_BYTES`` of content, or with the
-one record that is longer.
+binary reader, so they can be on any file system that Spark knows.  Every WARC
+record is a gzip member of its own, so readers can seek to it; an ARC file is one
+member.  A file begins with its version or warcinfo record and ends at
+``ARCHIVE_BYTES`` of content, or with the one record that is longer.
 
 Record ids come from the conversion, the file and the place in it: a task that
 runs twice gives the same ids, two conversions share none.
@@ -84,20 +84,28 @@ def _gunzip(data: bytes) -> bytes:
 
 
 class _Archive:
-    """One file: a gzip member for each record, with the format's separator after it."""
+    """One file: records with the format's separator after each, in a gzip member each or in one."""
 
-    def __init__(self, separator: bytes):
-        self.separator, self.members, self.size = separator, [], 0
+    def __init__(self, separator: bytes, seekable: bool):
+        self.separator, self.seekable, self.parts, self.size, self.member = separator, seekable, [], 0, None
 
     def add(self, record: bytes) -> None:
-        member = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
-        self.members.append(member.compress(record) + member.compress(self.separator) + member.flush())
+        self.member = self.member or zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
+        self.parts += [self.member.compress(record), self.member.compress(self.separator)]
         self.size += len(record) + len(self.separator)
+        if self.seekable:
+            self._end()
+
+    def _end(self) -> None:
+        if self.member:
+            self.parts.append(self.member.flush())
+        self.member = None
 
     def rows(self) -> Iterator[tuple[bytes]]:
-        if self.members:
-            yield (b"".join(self.members),)
-        self.members, self.size = [], 0
+        self._end()
+        if self.parts:
+            yield (b"".join(self.parts),)
+        self.parts, self.size = [], 0
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, size) -> Iterator[pa.RecordBatch]:
@@ -151,7 +159,7 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[bytes]]:
-            part, number, version, name, archive = TaskContext.get().partitionId(), 0, 1, "", _Archive(b"\n")
+            part, number, version, name, archive = TaskContext.get().partitionId(), 0, 1, "", _Archive(b"\n", False)
             for batch in batches:
                 for page, url, payload in zip(column(batch, "page_id").to_pylist(), column(batch, "url").to_pylist(), _payloads(batch, "payload")):
                     if not archive.size:
@@ -290,7 +298,7 @@ def write_warc(records: DataFrame, path: str, packed: bool = False) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[bytes]]:
-            part, number, archive = TaskContext.get().partitionId(), 0, _Archive(b"\r\n\r\n")
+            part, number, archive = TaskContext.get().partitionId(), 0, _Archive(b"\r\n\r\n", True)
             for batch in batches:
                 names = ("record_id", "url", "ip", "date", "mime", "type", "payload_bytes", "digest", "truncated", "refers_to", "refers_to_url", "refers_to_date")
                 fields = zip(*(column(batch, c).to_pylist() for c in names))
