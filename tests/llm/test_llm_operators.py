@@ -567,3 +567,27 @@ def test_query_columns(name, spark, sf_dir):
     df = queries.QUERIES[name](spark, sf_dir)
     table = "pages" if name == "op9_warc" else "documents"
     assert df.columns == CONTRACT[name] and df.count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+
+
+def test_components_of_paths_stars_and_loops(spark):
+    import random
+
+    from tidemark.llm import graph
+
+    rng = random.Random(9)
+    names = rng.sample(range(10_000), 900)
+    edges = [(names[i], names[i + 1]) for i in range(299)] + [(names[300], names[301 + i]) for i in range(300)] + [(names[700], names[700]), (None, 5)]
+    edges += [(names[rng.randint(710, 899)], names[rng.randint(710, 899)]) for _ in range(150)]
+    parent = {x: x for e in edges if None not in e for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r["node"]: r["component"] for r in graph.components(df).collect()} == {x: find(x) for x in parent}
+    assert graph.components(df.where("false")).count() == 0
