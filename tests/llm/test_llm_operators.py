@@ -84,6 +84,16 @@ def test_bad_hosts_lose_their_documents(spark):
     assert quality_rules.beta_prior(0.0, 0.0) == (0.5, 0.5) and quality_rules.beta_prior(0.5, 0.25) == (0.5, 0.5)
 
 
+def test_prior_is_that_of_the_hosts_not_of_chance():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for a, b, n in ((2.0, 6.0, 4), (20.0, 5.0, 3), (1.0, 30.0, 12)):
+        rates = rng.binomial(n, rng.beta(a, b, 200_000)) / n
+        got = quality_rules.beta_prior(rates.mean(), rates.var(ddof=1), 1 / n)
+        assert abs(got[0] - a) < 0.15 * a and abs(got[1] - b) < 0.15 * b
+
+
 def substrings_by_force(rows):
     last = 1 << 63
     lowest: dict[tuple, int] = {}
@@ -178,6 +188,37 @@ def test_quality_scores(spark, docs, empty):
     assert {r[0] for r in quality_classifier.score(train, flat).select("score").distinct().collect()} == {0.5}
 
 
+def test_rule_column_equals_rules_evaluated_one_by_one(spark, docs):
+    import math
+
+    rows = quality_classifier.statistics(docs.select("doc_id", "text")).collect()
+    x = [[r[f"_td_{s}"] for s in quality_classifier.STATS] for r in rows]
+    middle = [sorted(c)[len(c) // 2] for c in zip(*x)]
+    rules = tuple(((i, i % 2 == 0, middle[i]), ((i + 3) % len(middle), True, middle[(i + 3) % len(middle)])) for i in range(len(middle)))
+    model = quality_classifier.RuleModel(rules, tuple(0.3 * (i - 6) for i in range(len(rules))), -0.2)
+    found = {r["doc_id"]: r["score"] for r in quality_classifier.score(docs.where("doc_id IS NOT NULL AND doc_id <> 8"), model).collect()}
+    for r, own in zip(rows, x):
+        if r["doc_id"] in found:
+            z = -0.2 + sum(w for rule, w in zip(rules, model.weights) if all((own[i] > at) == over for i, over, at in rule))
+            assert math.isclose(found[r["doc_id"]], 1 / (1 + math.exp(-z)), rel_tol=1e-12)
+
+
+@pytest.mark.parametrize("name, label, least", [("op3_quality_classifier", "quality", 0.9), ("op5_toxicity", "toxic", 0.85)])
+def test_held_out_accuracy(spark, name, label, least):
+    """On documents that nothing was learnt from; for toxicity, recall of the labelled ones is in the README."""
+    given = "/root/testdata/sf0.01"
+    scored = queries.QUERIES[name](spark, given).where("held_out").join(spark.read.parquet(f"{given}/labels.parquet"), "doc_id")
+    n, right = scored.where(F.col(label).isNotNull()).agg(F.count(F.lit(1)), F.count_if(F.col("predicted") == F.col(label))).first()
+    assert n > 50 and right >= least * n
+
+
+def test_a_repeated_labelled_id_counts_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other"), (3, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (4, 1), (None, 1)], "doc_id long, quality int")
+    sample = quality_classifier.training_sample(docs, labels, "quality", 1000, 999, 10)
+    assert sorted(r["_td_label"] for r in sample.collect()) == [0, 1, 1]
+
+
 def test_toxicity_scores(spark, docs, empty):
     filler = " ".join(f"w{i}" for i in range(60))
     rows = [(i, f"{filler} some idiot {i}" if i % 4 == 0 else f"{filler} some friend {i}", int(i % 4 == 0)) for i in range(400)]

@@ -179,10 +179,15 @@ def held_out(id_col: str | F.Column, parts: int, rest: int) -> F.Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, rest: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Text and label of ``most`` labelled documents at most; as many rows of labels are broadcast."""
+    """Text and label of ``most`` labelled documents at most; as many rows of labels are broadcast.
+
+    Of documents that share an id, the one whose text has the smallest hash counts.
+    """
     rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, parts, rest))
     rows = rows.select(F.col(id_col).cast("long").alias("_td_id"), F.col(label_col).cast("int").alias("_td_label")).orderBy(F.xxhash64("_td_id"), "_td_id", "_td_label").limit(most)
-    return docs.select(F.col(id_col).cast("long").alias("_td_id"), F.col(text_col).alias("text")).join(F.broadcast(rows), "_td_id").select("_td_label", "text")
+    found = docs.select(F.col(id_col).cast("long").alias("_td_id"), F.col(text_col).alias("text")).join(F.broadcast(rows.distinct()), "_td_id")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
+    return found.groupBy("_td_id", "_td_label").agg(one.alias("text")).select("_td_label", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", parts: int = 3, rest: int = 1, most: int = MAX_TRAIN_ROWS) -> RuleModel:

@@ -2,7 +2,8 @@
 
 Every rule is counted per document, failures are summed per host, each host's
 failure rate is shrunk towards a beta prior that is fitted to all hosts by the
-method of moments, and hosts whose shrunk rate passes a limit are rejected with
+method of moments (the variance of the rates, less what a host's few documents add
+to it by chance, is the variance between hosts), and hosts whose shrunk rate passes a limit are rejected with
 all their documents.
 
 Defined results: a null or empty text has no words and fails the word rule; a
@@ -87,11 +88,16 @@ def rule_failures() -> dict[str, F.Column]:
     }
 
 
-def beta_prior(mean: float, variance: float) -> tuple[float, float]:
-    """Beta parameters with this mean and variance; strength is held between 1 and 10**6."""
+def beta_prior(mean: float, variance: float, chance: float = 0.0) -> tuple[float, float]:
+    """Beta parameters of hosts whose rates have this mean and variance; strength is held between 1 and 10**6.
+
+    ``chance``: the mean over hosts of 1 / documents, the share of the variance
+    of single documents that a host's rate has by chance.
+    """
     if not 0 < mean < 1:
         return (0.5, 0.5)
-    strength = min(max(mean * (1 - mean) / variance - 1, 1.0), 1e6) if variance > 0 else 1e6
+    between = variance / (mean * (1 - mean)) - chance
+    strength = min(max((1 - chance) / between - 1, 1.0), 1e6) if between > 0 else 1e6
     return mean * strength, (1 - mean) * strength
 
 
@@ -104,10 +110,10 @@ def host_verdicts(counts: DataFrame, limit: float = HOST_LIMIT) -> tuple[DataFra
     hosts = counts.where(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *(F.sum(F.when(fails[r], 1).otherwise(0)).alias(f"f_{r}") for r in RULES))
     hosts = materialize(hosts, "hosts")
     rate = {r: F.col(f"f_{r}") / F.col("n_docs") for r in RULES}
-    moments = hosts.agg(F.count(F.lit(1)).alias("n"), *(F.avg(rate[r]).alias(f"m_{r}") for r in RULES), *(F.var_samp(rate[r]).alias(f"v_{r}") for r in RULES)).first()
+    moments = hosts.agg(F.count(F.lit(1)).alias("n"), F.avg(1 / F.col("n_docs")).alias("chance"), *(F.avg(rate[r]).alias(f"m_{r}") for r in RULES), *(F.var_samp(rate[r]).alias(f"v_{r}") for r in RULES)).first()
     ok = F.lit(True)
     for r in RULES:
-        a, b = beta_prior(moments[f"m_{r}"] or 0.0, moments[f"v_{r}"] or 0.0)
+        a, b = beta_prior(moments[f"m_{r}"] or 0.0, moments[f"v_{r}"] or 0.0, moments["chance"] or 0.0)
         hosts = hosts.withColumn(f"rate_{r}", (F.col(f"f_{r}") + a) / (F.col("n_docs") + a + b))
         ok = ok & (F.col(f"rate_{r}") <= limit)
     return hosts.withColumn("host_ok", ok), moments["n"]
@@ -157,11 +163,12 @@ h AS (
   SELECT source, rule, count(*) AS n, sum(fail::int) AS f
   FROM (SELECT source, unnest([1, 2, 3, 4]) AS rule, unnest([r1, r2, r3, r4]) AS fail FROM f WHERE source IS NOT NULL)
   GROUP BY source, rule),
-m AS (SELECT rule, avg(f / n) AS mean, coalesce(var_samp(f / n), 0) AS var FROM h GROUP BY rule),
+m AS (SELECT rule, avg(f / n) AS mean, avg(1 / n) AS chance, coalesce(var_samp(f / n), 0) AS var FROM h GROUP BY rule),
+b AS (SELECT *, CASE WHEN mean > 0 AND mean < 1 THEN var / (mean * (1 - mean)) - chance END AS between_hosts FROM m),
 s AS (
-  SELECT rule, mean, CASE WHEN mean <= 0 OR mean >= 1 THEN 1 WHEN var > 0 THEN least(greatest(mean * (1 - mean) / var - 1, 1.0), 1e6) ELSE 1e6 END AS k,
-         CASE WHEN mean <= 0 OR mean >= 1 THEN 0.5 ELSE mean END AS p
-  FROM m),
+  SELECT rule, mean, CASE WHEN between_hosts IS NULL THEN 1 WHEN between_hosts > 0 THEN least(greatest((1 - chance) / between_hosts - 1, 1.0), 1e6) ELSE 1e6 END AS k,
+         CASE WHEN between_hosts IS NULL THEN 0.5 ELSE mean END AS p
+  FROM b),
 v AS (SELECT source, bool_and((f + p * k) / (n + k) <= {HOST_LIMIT}) AS host_ok FROM h JOIN s USING (rule) GROUP BY source)
 SELECT doc_id, n_words::bigint AS n_words, word_chars::bigint AS word_chars, n_symbols::bigint AS n_symbols,
        n_dup_lines::bigint AS n_dup_lines, n_repeat_words::bigint AS n_repeat_words,
