@@ -4,6 +4,9 @@ A page counts once for a line however often it has it.  A line is dropped from
 all pages of a host if more than ``MIN_PAGES`` pages of the host have it and
 they are more than ``MAX_RATIO`` of the host's pages.
 
+Lines are compared by 64-bit hashes: with n different lines of a host, the chance
+that two of them are taken for one is about n * n / 2**65.
+
 A host has at most (mean lines of its pages / MAX_RATIO) such lines, so its
 list is bounded for any number of pages.  The lists go to the documents by
 broadcast while all of them together are small, and by a salted join beyond.
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 from .staging import materialize, read_table
 
 MAX_RATIO = 0.2
-MIN_PAGES = 10
+#: Pages that may share a line on any host, however small: on three pages and more it is the ratio that counts.
+MIN_PAGES = 2
 #: All hosts' lines are broadcast up to so many.
 BROADCAST_LINES = 200_000
 SALTS = 64
