@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import defaultdict
+
 from pyspark.sql import functions as F
+from test_llm_operators import WORD, components_by_force, fold, shingles
 
 import corpus_pipeline
 from tidemark.llm import bpe, decontamination, line_dedup, near_dedup, quality_classifier
@@ -48,3 +53,44 @@ def test_awkward_rows_pass_through_all_stages(spark, sf_dir):
         assert stage(spark, docs.where("false"), sf_dir).count() == 0
         if name != "bpe":
             assert out.columns == docs.columns
+
+
+def test_whole_pipeline_equals_brute_force(spark, sf_dir):
+    """All five stages one after another on plain Python rows; only the fitted rules are taken from the operator."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+    def good(r):
+        x = [r[f"_td_{s}"] for s in quality_classifier.STATS]
+        return model.intercept + math.fsum(w for rule, w in zip(model.rules, model.weights) if all((x[i] > at) == over for i, over, at in rule)) >= 0
+
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in quality_classifier.statistics(docs, keep_text=True).collect() if good(r)]
+
+    total, pages = defaultdict(int), defaultdict(int)
+    for _, t, host in rows:
+        total[host] += host is not None
+        for line in {x for x in (t or "").split("\n") if WORD.search(x)}:
+            pages[host, line] += 1
+    bad = {k for k, n in pages.items() if k[0] is not None and n > line_dedup.MIN_PAGES and n > line_dedup.MAX_RATIO * total[k[0]]}
+    rows = [(d, None if t is None else "\n".join(x for x in t.split("\n") if (h, x) not in bad), h) for d, t, h in rows]
+
+    comp = components_by_force([(d, t or "", h) for d, t, h in rows])
+    rows = [(d, t, h) for d, t, h in rows if comp.get(d, d) == d]
+
+    items = [shingles(r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+
+    def leaks(text):
+        w = WORD.findall(fold(text))
+        grams = {k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for k in range(1, 6)}
+        return any(s and 100 * len(s & grams[len(next(iter(s)))]) >= 75 * len(s) for s in items)
+
+    library, expected = Tokenizer.from_file(bpe.default_path()), []
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for d, t, _ in rows:
+        if not leaks(t or ""):
+            ids = library.encode(t or "", add_special_tokens=False).ids
+            expected.append((d, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    found = corpus_pipeline.run(spark, sf_dir)
+    assert sorted(map(tuple, found.collect())) == sorted(expected) and 20 < len(expected) < docs.count()
