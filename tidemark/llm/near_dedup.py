@@ -52,7 +52,7 @@ SHINGLE, SIMILARITY_PERCENT = 5, 75
 COORDINATES, MATCHES = 128, 70
 PREFIX = COORDINATES - MATCHES + 1
 #: Signatures in a block of a group; texts in a block of a cluster, and their shingles.
-BLOCK, CLUSTER, CLUSTER_SHINGLES = 2048, 512, 1 << 21
+BLOCK, CLUSTER, CLUSTER_SHINGLES = 2048, 512, 1 << 19
 
 _FLIP, _SCALE = stream(COORDINATES, 303), stream(COORDINATES, 404) | U(1)
 

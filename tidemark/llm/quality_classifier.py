@@ -179,19 +179,23 @@ def held_out(id_col: str | F.Column, parts: int, rest: int) -> F.Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, rest: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Text and label of ``most`` labelled documents at most; as many rows of labels are broadcast.
+    """Labelled documents with at most ``most`` ids: _td_id, _td_label, _td_hash (of the text) and text; as many rows of labels are broadcast.
 
-    Of documents that share an id, the one whose text has the smallest hash counts.
+    What is made of the texts goes through ``one_each`` before it is collected.
     """
     rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, parts, rest))
     rows = rows.select(F.col(id_col).cast("long").alias("_td_id"), F.col(label_col).cast("int").alias("_td_label")).orderBy(F.xxhash64("_td_id"), "_td_id", "_td_label").limit(most)
-    found = docs.select(F.col(id_col).cast("long").alias("_td_id"), F.col(text_col).alias("text")).join(F.broadcast(rows.distinct()), "_td_id")
-    one = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
-    return found.groupBy("_td_id", "_td_label").agg(one.alias("text")).select("_td_label", "text")
+    found = docs.select(F.col(id_col).cast("long").alias("_td_id"), F.xxhash64(text_col).alias("_td_hash"), F.col(text_col).alias("text"))
+    return found.join(F.broadcast(rows.distinct()), "_td_id").select("_td_id", "_td_label", "_td_hash", "text")
+
+
+def one_each(sample: DataFrame, *columns: str) -> DataFrame:
+    """_td_label and the columns, once for each id and label: of documents that share an id, the text with the smallest hash counts."""
+    return sample.groupBy("_td_id", "_td_label").agg(F.min_by(F.struct(*columns), "_td_hash").alias("_td_one")).select("_td_label", "_td_one.*")
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", parts: int = 3, rest: int = 1, most: int = MAX_TRAIN_ROWS) -> RuleModel:
-    got = statistics(training_sample(docs, labels, label_col, parts, rest, most)).toPandas()
+    got = one_each(statistics(training_sample(docs, labels, label_col, parts, rest, most)), *(f"_td_{s}" for s in STATS)).toPandas()
     got = got.sort_values(list(got.columns))
     return fit(got.iloc[:, 1:].to_numpy(float), got["_td_label"].to_numpy())
 

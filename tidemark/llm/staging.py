@@ -60,7 +60,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Keep Arrow batches to Python workers at ``most`` bytes or less, so long texts don't add up."""
     if int(spark.conf.get(_ARROW_BYTES, str((1 << 31) - 1)).rstrip("b") or 0) > most:
         spark.conf.set(_ARROW_BYTES, str(most))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .quality_classifier import held_out, training_sample
+from .quality_classifier import held_out, one_each, training_sample
 from .staging import bound_batches, read_table
 from .textblock import U, blocks, repeated
 
@@ -150,10 +150,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", parts: i
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, t in blocks(batches, "text", word_bytes=_TERM):
             bucket, offs = block_terms(t)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([bucket[a:b].tobytes() for a, b in zip(offs, offs[1:])], pa.binary())], ["label", "terms"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array([bucket[a:b].tobytes() for a, b in zip(offs, offs[1:])], pa.binary())], ["_td_id", "_td_label", "_td_hash", "terms"])
 
-    sample = training_sample(docs, labels, label_col, parts, rest, most)
-    rows = sorted((r[0], bytes(r[1])) for r in sample.mapInArrow(terms, "label int, terms binary").collect())
+    sample = training_sample(docs, labels, label_col, parts, rest, most).mapInArrow(terms, "_td_id long, _td_label int, _td_hash long, terms binary")
+    rows = sorted((r[0], bytes(r[1])) for r in one_each(sample, "terms").collect())
     return fit([np.frombuffer(x, np.int32) for _, x in rows], np.array([y for y, _ in rows], np.float32))
 
 
