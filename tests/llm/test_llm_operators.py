@@ -634,3 +634,25 @@ def test_components_of_paths_stars_and_loops(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     assert {r["node"]: r["component"] for r in graph.components(df).collect()} == {x: find(x) for x in parent}
     assert graph.components(df.where("false")).count() == 0
+
+
+def test_functions_are_small_when_sent_to_workers():
+    from pyspark import cloudpickle
+
+    from tidemark.llm import textblock
+
+    textblock.powers(textblock._BASE, 100)
+    assert len(cloudpickle.dumps(textblock.blocks)) < 200_000 > len(cloudpickle.dumps(near_dedup.link_block))
+    assert textblock._powers and not cloudpickle.loads(cloudpickle.dumps(textblock._powers))
+
+
+def test_scratch_tables_go(spark):
+    from tidemark.llm import staging
+
+    with staging.scratch(spark):
+        inner = staging.materialize(spark.range(3), "inner")
+        kept = staging.materialize(inner, "kept", outer=True)
+        assert inner.count() == 3
+    assert kept.count() == 3 and kept.inputFiles()
+    with pytest.raises(Exception):
+        inner.count()

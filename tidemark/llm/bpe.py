@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .staging import bound_batches, read_table
-from .textblock import TextBlock, blocks
+from .textblock import Memo, TextBlock, blocks
 
 LEAF_BYTES = 8192
 THREADS = 4
@@ -164,7 +164,7 @@ def decode_block(v: Vocabulary, ids: np.ndarray, offs: np.ndarray) -> list[bytes
     return [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip(at, at[1:])]
 
 
-_vocabularies: dict[int, Vocabulary] = {}
+_vocabularies: dict[int, Vocabulary] = Memo()
 
 
 def vocabulary(text: str) -> Vocabulary:

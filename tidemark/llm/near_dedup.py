@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .staging import bound_batches, materialize, read_table
+from .staging import bound_batches, materialize, read_table, scratch
 from .textblock import TextBlock, U, blocks, column, mix, per_text, repeated, stream
 
 SHINGLE, SIMILARITY_PERCENT = 5, 75
@@ -386,12 +386,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = F.min_by(F.struct("signature", "own"), F.struct("doc_id", "own"))
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(key).agg(F.min("doc_id").alias("rep"), one.alias("one"))
     classes = materialize(classes.select(*key, "rep", "one.signature", "one.own"), "classes")
-    posts = materialize(prefix_postings(classes.select("rep", "signature")), "postings")
-    heads = posts.groupBy("posting").agg(F.min("rep").alias("grp"), F.count(F.lit(1)).alias("n")).where("n > 1").select("posting", "grp")
-    heads = materialize(heads, "heads")
-    members = materialize(posts.join(heads, "posting").select("grp", "rep").distinct(), "members")
-    clusters = components(candidates(classes, members)).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-    found = components(links(docs, classes, clusters, posts).unionAll(_same_id(signed, classes, key)))
+    with scratch(docs.sparkSession):
+        posts = materialize(prefix_postings(classes.select("rep", "signature")), "postings")
+        heads = posts.groupBy("posting").agg(F.min("rep").alias("grp"), F.count(F.lit(1)).alias("n")).where("n > 1").select("posting", "grp")
+        heads = materialize(heads, "heads")
+        members = materialize(posts.join(heads, "posting").select("grp", "rep").distinct(), "members")
+        clusters = components(candidates(classes, members)).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+        found = materialize(components(links(docs, classes, clusters, posts).unionAll(_same_id(signed, classes, key))), "found", outer=True)
     classes = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     joined = signed.select("doc_id", *key).join(classes, key, "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))

@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
+#: The folders of the scratch blocks that the caller is in, outermost first.
+_scopes: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside of the block go at its end, but for those written with ``outer``."""
+    scopes = (*_scopes.get(), f"scratch-{uuid.uuid4().hex[:12]}")
+    token = _scopes.set(scopes)
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        delete_path(spark, "/".join([_root(spark), *scopes]))
+
+
+def new_path(spark: SparkSession, name: str, outer: bool = False) -> str:
     """A path in this application's folder, which goes when the application ends."""
+    scopes = _scopes.get()
+    return "/".join([_root(spark), *(scopes[:-1] if outer else scopes), f"{name}-{uuid.uuid4().hex[:12]}"])
+
+
+def _root(spark: SparkSession) -> str:
     root = f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
     if getattr(spark.sparkContext, "_tidemark_staging", None) != root:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
@@ -35,24 +59,24 @@ def new_path(spark: SparkSession, name: str) -> str:
         fs.mkdirs(folder)
         fs.deleteOnExit(folder)
         spark.sparkContext._tidemark_staging = root
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    return root
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+def materialize(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back; with ``outer`` it outlives the scratch block.
 
     The result has no lineage to what made it, so a lost executor costs a
     re-read and not a recomputation.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = new_path(spark, name, outer)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_staging(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application; results that still read them must be written before."""
-    delete_path(spark, f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}")
+    delete_path(spark, _root(spark))
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -42,7 +42,16 @@ _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _CODES = stream(256, 17)
 _FOLDED = _CODES.copy()
 _FOLDED[65:91] = _CODES[97:123]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+class Memo(dict):
+    """A cache that stays behind when the functions that use it are sent to workers."""
+
+    def __reduce__(self):
+        return Memo, ()
+
+
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = Memo()
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +65,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             both.append(np.multiply.accumulate(p))
         have = (both[0], both[1])
-        if size <= 8 * BLOCK_BYTES:
+        if size <= 2 * BLOCK_BYTES:
             _powers[base] = have
     return have
 

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import bound_batches, materialize, new_path, read_table
+from .staging import bound_batches, materialize, new_path, read_table, scratch
 from .textblock import bytes_of, column
 
 ARCHIVE_BYTES = 16 << 20
@@ -376,10 +376,11 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 def archive_pages(pages: DataFrame, min_bytes: int = 0, **columns: str) -> DataFrame:
     """Pages through ARC and WARC archives in the shared folder and back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
-    arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
-    write_arc(pages, arc, **columns)
-    write_warc(convert(read_arc(spark, arc, packed=True), min_bytes), warc, packed=True)
-    back = materialize(read_warc(spark, warc, with_payload=False).select(_page_id("http").alias("page_id"), "record_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to"), "warc-index")
+    with scratch(spark):
+        arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
+        write_arc(pages, arc, **columns)
+        write_warc(convert(read_arc(spark, arc, packed=True), min_bytes), warc, packed=True)
+        back = materialize(read_warc(spark, warc, with_payload=False).select(_page_id("http").alias("page_id"), "record_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to"), "warc-index", outer=True)
     revisits = back.where("refers_to IS NOT NULL")
     answers = back.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("_answer"))
     shown = ["page_id", "payload_bytes", "payload_digest", "record_type"]
