@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing, safe, text, vectors
-from tidemark.operators import evaluation, experiments, features, ledger, models, predicates, profiles, ranking, uplift, vector_search
+from tidemark.operators import allocation, evaluation, experiments, features, ledger, models, predicates, profiles, ranking, uplift, vector_search
 from tidemark.operators.predicates import Condition, PropertyFilter, Request
 from tidemark.sources import event_log
 
@@ -208,6 +208,8 @@ def test_ridge_recovers_a_line(spark):
     model = uplift.fit_ridge(rows, ["a", "b"], "y", 1e-6)
     worst = rows.select(F.max(F.abs(model.column([F.col("a"), F.col("b")]) - F.col("y")))).first()[0]
     assert worst < 1e-5
+    assert uplift.cluster_bootstrap([(1.0, 2)]) == (None, None) == uplift.cluster_bootstrap([])
+    assert uplift.percentile([1.0, 2.0, 4.0], 0.75) == 3.0 and uplift.cluster_bootstrap([(1.0, 1), (1.0, 1)], 3) == (1.0, 1.0)
     assert uplift.cluster_bootstrap([(1.0, 2), (2.0, 2), (0.0, 2)], 200) == uplift.cluster_bootstrap([(1.0, 2), (2.0, 2), (0.0, 2)], 200)
 
 
@@ -218,7 +220,11 @@ def test_logistic_and_heuristic(spark):
     assert held < 1.0 and abs(held - (0.5 * one(spark, model.column([F.lit(50.0)], 3.0)) + 0.05)) < 1e-9
     zero = {k: F.lit(0.0) for k in [*models.DESTINATION_SIGNAL, *models.INTENT_SIGNAL, "eligible_destination_match_user_rate", "promotion_condition_match"]}
     assert abs(one(spark, models.heuristic_rate(zero, True)) - 0.001) < 1e-12
-    assert models.calibrate_threshold([0.8, 0.9], [], [0.4]) == (0.6, 0.2)
+    at, margin = models.calibrate_threshold([0.8, 0.9], [0.4, 0.1], 0.3)
+    assert math.isclose(at, 0.6) and math.isclose(margin, 0.4)
+    for accepted, rejected in (([0.5], [0.4]), ([], [0.1]), ([0.9], [])):
+        with pytest.raises(ValueError):
+            models.calibrate_threshold(accepted, rejected, 0.3)
 
 
 def test_funnel_counts_later_stages_and_epochs(spark):
@@ -258,3 +264,55 @@ def test_relaxation_gives_up_demographics_before_the_season(spark):
     rows = spark.createDataFrame([(i, i % 2, i % 3) for i in range(12)], "id long, d long, s long")
     lit, d, season = F.lit(True), F.col("d") == 0, F.col("s") == 0
     assert [profiles.relaxed(rows, lit, d, season, least)[1] for least in (2, 4, 5, 99)] == [(), ("demographics",), ("demographics", "season"), ("demographics", "season")]
+
+
+def test_written_lists(spark):
+    assert text.list_values(" Seoul，busan/제주 또는 SEOUL·차이나타운") == ["busan", "seoul", "제주", "차이나타운"]
+    assert text.search_terms("제주, 서울") == ["jeju", "seoul", "서울", "제주"] and text.search_terms("Paris") == ["paris"] and text.search_terms("A또는B") == ["a또는b"]
+    assert one(spark, text.split_values(F.lit("b，A혹은 a/"))) == ["a", "b"]
+
+
+def test_group_rank_cuts_groups(spark):
+    rows = spark.createDataFrame([(None if i % 3 == 0 else f"g{i % 3}", i, i % 5) for i in range(300)], "g string, id long, v long")
+    got = ranking.group_rank(rows, ["g"], [F.desc("v"), F.col("id")]).collect()
+    expected = {}
+    for g in {r["g"] for r in got}:
+        own = sorted(((r["v"], r["id"]) for r in got if r["g"] == g), key=lambda x: (-x[0], x[1]))
+        expected |= {(g, i): (k + 1, len(own)) for k, (_, i) in enumerate(own)}
+    assert {(r["g"], r["id"]): (r["_rank"], r["_n"]) for r in got} == expected
+    medians = {r["g"]: r["median"] for r in ranking.lower_median(rows, ["g"], "id").collect()}
+    assert medians == {None: 147, "g1": 148, "g2": 149}
+
+
+def test_many_segments_in_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    vector = lambda: [rng.uniform(-1, 1) for _ in range(6)]
+    segs = spark.createDataFrame([(f"s{i:03d}", vector()) for i in range(60)] + [("zero", [0.0] * 6), ("s900", [1.0] + [0.0] * 5), ("s901", [2.0] + [0.0] * 5)], "segment_id string, centroid array<double>")
+    users = spark.createDataFrame([(i, vector()) for i in range(40)] + [(100, None), (101, [0.0] * 6), (102, [1.0] + [0.0] * 5)], "vec_id long, embedding array<double>")
+    shown = lambda df: [(r["vec_id"], [(s["id"], round(s["score"], 9)) for s in r["nearest"]]) for r in df.orderBy("vec_id").collect()]
+    few = shown(vector_search.nearest_segments(users, segs, 3))
+    monkeypatch.setattr(vector_search, "MOST_SEGMENTS", 5)
+    monkeypatch.setattr(vector_search, "BLOCK_SEGMENTS", 7)
+    assert shown(vector_search.nearest_segments(users, segs, 3)) == few
+
+
+def test_allocation(spark):
+    members = spark.createDataFrame([("x", 1, 0.9), ("x", 2, 0.6), ("y", 1, 0.7), ("y", 2, 0.9), ("y", 3, 0.5), ("z", 4, 0.9)], "snapshot_id string, user_id long, behavior_fit_score double")
+    sources = spark.createDataFrame([("A", "x", 1, 0.5, 0.2, 2), ("B", "y", 1, 0.5, 0.1, 1), ("C", "z", 0, 0.5, 0.0, 1)], "segment_id string, snapshot_id string, priority int, score_threshold double, semantic_margin double, min_sample_size long")
+    excluded = spark.createDataFrame([(4,)], "user_id long")
+    won = lambda **k: {r["user_id"]: r["segment_id"] for r in allocation.winners(members, sources, **k).collect()}
+    assert won() == {1: "A", 2: "B", 3: "B", 4: "C"} and won(excluded=excluded) == {1: "A", 2: "B", 3: "B"}
+    seen = {(tuple(r["segments"]), r["segment_id"]): (r["users"], r["audience_status"]) for r in allocation.preview(members, sources, excluded).collect()}
+    assert len(seen) == 12 and seen[("A",), "A"] == (2, "targetable") and seen[("A", "B"), "A"] == (1, "insufficient_sample") and seen[("A", "B", "C"), "C"] == (0, "no_eligible_audience")
+    with pytest.raises(ValueError):
+        allocation.preview(members, sources, most=2)
+    key = "analysis_id string, segment_id string, plan_id string, snapshot_id string"
+    targets = spark.createDataFrame([("n", "A", "p", "x", "confirmed"), ("n", "B", "p", "y", "confirmed"), ("n", "C", "p", "z", "stopped")], key + ", status string")
+    bindings = spark.createDataFrame([("n", "B", "p", "y", "r1")], key + ", run_id string")
+    runs = spark.createDataFrame([("r1", "completed")], "run_id string, status string")
+    active = allocation.active_targets(targets, bindings, runs)
+    assert [r["segment_id"] for r in active.collect()] == ["A"]
+    held = spark.createDataFrame([(7, "reserved", "n", "A", "p", "x"), (8, "released", "n", "A", "p", "x"), (9, "consumed", "n", "B", "p", "y")], "user_id long, state string, " + key)
+    assert col(allocation.excluded_users(held, active)) == [7]

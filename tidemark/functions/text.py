@@ -44,11 +44,21 @@ def canonical_destination(text: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), plain), plain)
 
 
+# What stands between the values of a list, beside the comma.
+LIST_MARKS, OR_WORDS = ("，", "/", "·"), ("또는", "혹은")
+
+
+def list_values(text: str, marks: Sequence[str] = (*LIST_MARKS, *OR_WORDS)) -> list[str]:
+    """The distinct values of a written list, in lower case and order."""
+    for mark in marks:
+        text = text.replace(mark, ",")
+    return sorted({v.strip().casefold() for v in text.split(",") if v.strip()})
+
+
 def search_terms(destination: str) -> list[str]:
-    """A destination and its other spellings in structured conditions."""
-    own = destination.strip().lower()
-    group = next((g for g in SEARCH_GROUPS if own in g), [])
-    return list(dict.fromkeys([own, *group]))
+    """The destinations of a list and their other spellings in structured conditions; "or" words belong to a name here."""
+    found = {own: next((g for g in SEARCH_GROUPS if own in g), [own]) for own in list_values(destination, LIST_MARKS)}
+    return sorted({term for terms in found.values() for term in terms})
 
 
 def contains_any(text: Column, terms: Sequence[str]) -> Column:
@@ -58,6 +68,6 @@ def contains_any(text: Column, terms: Sequence[str]) -> Column:
 
 
 def split_values(text: Column) -> Column:
-    """A list written with commas, slashes, middle dots or the Korean "or" words, lower-cased and trimmed."""
-    parts = F.split(F.regexp_replace(text, "또는|혹은|이나|[,/·]", ","), ",")
-    return F.filter(F.transform(parts, lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    """``list_values`` of a column."""
+    parts = F.split(F.regexp_replace(text, "|".join((*LIST_MARKS, *OR_WORDS)), ","), ",")
+    return F.array_sort(F.array_distinct(F.filter(F.transform(parts, lambda x: F.lower(F.trim(x))), lambda x: x != "")))

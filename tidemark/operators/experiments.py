@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import hmac
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import group_rank
+
 
 def hmac_key(salt: str, *parts: Column) -> Column:
     """Hex HMAC-SHA256 of the parts joined by unit separators, by its definition over SHA-256."""
@@ -32,8 +34,7 @@ def holdout(members: DataFrame, experiment: str, user: str, ratio: float, salt:
     users have no arm.
     """
     order = [F.col(user)] if salt is None else [hmac_key(salt, *(F.lit(c) for c in context), F.col(experiment), F.col(user)), F.col(user)]
-    w = Window.partitionBy(experiment)
-    ranked = members.withColumn("_rank", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(w))
+    ranked = group_rank(members, [experiment], order)
     quota = F.least(F.greatest(F.floor(F.col("_n") * ratio + 0.5), F.lit(1)), F.col("_n") - 1)
     arm = F.when(F.col("_n") >= 2, F.when(F.col("_rank") <= quota, "treatment").otherwise("control"))
     return ranked.withColumn("arm", arm).withColumn("treatment_probability", F.when(F.col("_n") >= 2, quota / F.col("_n"))).drop("_rank", "_n")

@@ -78,11 +78,14 @@ def heuristic_rate(features: dict[str, Column], destination_required: bool) -> C
     return F.least(F.greatest(rate, F.lit(0.0)), F.lit(1.0))
 
 
-def calibrate_threshold(accepted: Sequence[float], boundary: Sequence[float], negative: Sequence[float], fallback: float = 0.5) -> tuple[float, float]:
-    """A similarity threshold between accepted and negative anchors, and its margin; the boundary anchors lie on it."""
-    if not accepted:
-        return fallback, 0.0
-    low, high = max(negative, default=-1.0), min(accepted)
-    inside = [b for b in boundary if low <= b <= high]
-    at = sum(inside) / len(inside) if inside else (low + high) / 2
-    return round(at, 6), round(max(high - at, 0.0), 6)
+def calibrate_threshold(accepted: Sequence[float], rejected: Sequence[float], minimum_margin: float = 0.0) -> tuple[float, float]:
+    """A similarity threshold in the middle between accepted and rejected anchors, those at the boundary included, and the margin between them.
+
+    A margin below the minimum is an error, as are missing anchors.
+    """
+    if not accepted or not rejected:
+        raise ValueError("anchors of both kinds are needed")
+    low, high = max(rejected), min(accepted)
+    if high - low < minimum_margin:
+        raise ValueError(f"margin {high - low:.6f} is below {minimum_margin:.6f}")
+    return (low + high) / 2, high - low

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import date_or_null, float_or_null, uint8_or_zero
-from ..functions.text import canonical_destination, contains_any, search_terms
+from ..functions.text import canonical_destination, contains_any, list_values, search_terms
 
 INTEREST = ("hotel_search", "hotel_click", "hotel_detail_view")
 HARD_PREDICATES = ("hotel_product_interest", "target_destination_affinity", "recent_destination_search", "booking_start_without_complete", "benefit_interest", "promotion_response", "general_destination_exploration", "season_match", "source_audience_membership", "structured_conditions")
@@ -56,7 +56,7 @@ class PropertyFilter:
         if self.operator == "contains":
             return F.instr(F.lower(own), self.value.lower()) > 0
         if self.operator == "in":
-            return F.lower(own).isin([v.strip().lower() for v in self.value.split(",") if v.strip()])
+            return F.lower(own).isin(list_values(self.value))
         if self.operator in ("gte", "lte"):
             number, bound = float_or_null(F.nullif(own, F.lit(""))), float(self.value)
             return F.coalesce(number >= bound if self.operator == "gte" else number <= bound, F.lit(False))

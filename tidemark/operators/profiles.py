@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import date_or_null, float_or_null
 from ..functions.text import contains_any
 from .predicates import destination_text, flag, is_event
+from .ranking import group_rank
 
 # Prior users of a smoothed rate and the score weights.
 PRIOR_USERS = 30.0
@@ -195,8 +196,7 @@ def relaxed(profiles: DataFrame, required: Column, demographics: Column, season:
 
 def ratio_evaluation(users: DataFrame, group: str, score: str, outcome: str, tie: str, ratios: Sequence[float]) -> DataFrame:
     """For each ratio: users in the top share of their group, their outcome rate, and its lift over everyone's."""
-    w = Window.partitionBy(group)
-    ranked = users.withColumn("_rank", F.row_number().over(w.orderBy(F.desc(score), tie))).withColumn("_n", F.count(F.lit(1)).over(w))
+    ranked = group_rank(users, [group], [F.desc(score), F.col(tie)])
     picked = ranked.withColumn("ratio", F.explode(F.array(*(F.lit(float(r)) for r in ratios)))).withColumn("_in", F.col("_rank") <= F.ceil(F.col("_n") * F.col("ratio")))
     rate = F.avg(F.when(F.col("_in"), F.col(outcome).cast("double")))
     return picked.groupBy("ratio").agg(F.count_if("_in").alias("selected"), rate.alias("rate"), (rate - F.avg(F.col(outcome).cast("double"))).alias("lift"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,16 +19,60 @@ def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` as it is now: a checkpoint, so that a value that depends on the run, as a partition number, is the same wherever it is read."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        where = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            where = tempfile.mkdtemp(prefix="tidemark-ranks-")
+            atexit.register(shutil.rmtree, where, True)
+        context.setCheckpointDir(where)
+    return df.checkpoint()
+
+
+def _parted(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Rows in range partitions with their number in ``_part``; the number of partitions is fixed, so none are merged."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pinned(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+
+
 def global_rank(rows: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """1, 2, 3 ... over all rows without a single-task window: rows are range-partitioned, ranked where they are, and shifted by the sizes before."""
-    parted = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parted = _parted(rows, order)
     local = parted.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = local.groupBy("_part").agg(F.max("_local").alias("_n"))
+    sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_part", before.alias("_before"))
     return local.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
 
 
+def group_rank(rows: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``rows`` with the rank in their group in ``_rank`` and the group's size in ``_n``, without a task for each group.
+
+    Range partitions by group and order cut large groups; a group's rows in one
+    partition are ranked there and shifted by its rows in the partitions before.
+    The windows over sizes see a row for each group and partition that meet.
+    """
+    parted = _parted(rows.withColumn("_group", F.struct(*group)), [F.col("_group"), *order])
+    local = parted.withColumn("_local", F.row_number().over(Window.partitionBy("_part", "_group").orderBy(*order)))
+    sizes = parted.groupBy("_group", "_part").agg(F.count(F.lit(1)).alias("_size"))
+    w = Window.partitionBy("_group")
+    before = F.coalesce(F.sum("_size").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_group", "_part", before.alias("_before"), F.sum("_size").over(w).alias("_n"))
+    ranked = local.join(offsets, ["_group", "_part"])
+    return ranked.select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("_local") + F.col("_before")).alias("_rank"), "_n")
+
+
+def lower_median(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """The group and the lower of the two middle values; equal values are counted first, so a window sees distinct ones."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = counts.withColumn("_seen", F.sum("_n").over(Window.partitionBy(*group).orderBy(value))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*group)))
+    return ranked.where("2 * _seen >= _all").groupBy(*group).agg(F.min(value).alias("median"))
+
+
 def salted_order(key: Column, salt: str) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(salt)))
 
@@ -46,8 +93,7 @@ def keyset_page(rows: DataFrame, key: str, after: int, size: int) -> DataFrame:
 
 def strength_cut(rows: DataFrame, group: Sequence[str], strength: Column, tie: str, ratio: float, minimum: int) -> DataFrame:
     """The strongest ``ceil(n * ratio)`` rows of each group; all of them where those would be fewer than ``minimum``."""
-    w = Window.partitionBy(*group)
-    ranked = rows.withColumn("_rank", F.row_number().over(w.orderBy(strength.desc(), F.col(tie)))).withColumn("_n", F.count(F.lit(1)).over(w))
+    ranked = group_rank(rows, group, [strength.desc(), F.col(tie)])
     cut = F.ceil(F.col("_n") * ratio)
     return ranked.where((F.col("_rank") <= cut) | (cut < minimum)).drop("_rank", "_n")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import first_eight
-from .ranking import global_rank
+from .ranking import global_rank, group_rank
 
 
 def transformed_outcome(outcome: Column, treatment: Column, probability: Column) -> Column:
@@ -115,19 +115,30 @@ def time_split(rows: DataFrame, experiment: str, ended_at: str, test_share: floa
 
 def stratified_split(rows: DataFrame, unit: str, strata: Sequence[str], train_share: float = 0.7) -> DataFrame:
     """``rows`` with ``is_train``: in each stratum the first ``floor(n * share)`` by stable hash."""
-    w = Window.partitionBy(*strata)
-    rank = F.row_number().over(w.orderBy(first_eight(F.col(unit).cast("string")), unit))
-    return rows.withColumn("is_train", rank <= F.floor(F.count(F.lit(1)).over(w) * train_share))
+    ranked = group_rank(rows, strata, [first_eight(F.col(unit).cast("string")), F.col(unit)])
+    return ranked.withColumn("is_train", F.col("_rank") <= F.floor(F.col("_n") * train_share)).drop("_rank", "_n")
 
 
-def cluster_bootstrap(clusters: Sequence[tuple[float, int]], draws: int = 1000, seed: int = 7) -> tuple[float, float]:
-    """A 95 % interval of a mean over resampled clusters, each given as sum and count; driver-side."""
+def percentile(ordered: Sequence[float], quantile: float) -> float:
+    """Linear interpolation between neighbours."""
+    at = (len(ordered) - 1) * quantile
+    low = int(at)
+    share = at - low
+    return ordered[low] * (1 - share) + ordered[min(low + 1, len(ordered) - 1)] * share
+
+
+def cluster_bootstrap(clusters: Sequence[tuple[float, int]], draws: int = 1000, seed: int = 20260721) -> tuple[float | None, float | None]:
+    """A 95 % interval of a mean over resampled clusters, each given as sum and count, in the order of their ids; none for fewer than two; driver-side."""
+    if draws < 1:
+        raise ValueError("draws must be positive")
+    if len(clusters) < 2:
+        return None, None
     rng, means = random.Random(seed), []
     for _ in range(draws):
-        picked = [clusters[rng.randrange(len(clusters))] for _ in clusters]
-        means.append(sum(s for s, _ in picked) / max(1, sum(n for _, n in picked)))
+        picked = [rng.choice(clusters) for _ in clusters]
+        means.append(sum(s for s, _ in picked) / sum(n for _, n in picked))
     means.sort()
-    return means[int(0.025 * (draws - 1))], means[int(0.975 * (draws - 1))]
+    return percentile(means, 0.025), percentile(means, 0.975)
 
 
 def out_of_range(rows: DataFrame, features: Sequence[str], model: Ridge) -> DataFrame:

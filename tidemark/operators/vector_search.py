@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,9 @@ from ..functions.vectors import cosine, doubles, is_valid, unit
 from .ranking import salted_sample
 
 #: Query and segment vectors are literals in the plan up to this number.
-MOST_SEGMENTS = 10_000
+MOST_SEGMENTS = 256
+#: Beyond it, so many are multiplied at a time.
+BLOCK_SEGMENTS = 10_000
 EXACT_LIMIT, TRANSITION_LIMIT = 50_000, 500_000
 MATCH_THRESHOLD = 0.5
 
@@ -48,22 +51,66 @@ def centroids(vectors: DataFrame, group: str, column: str = "embedding") -> Data
     return rows.select(group, unit(F.transform("s", lambda s: s["x"])).alias("centroid"))
 
 
-def segment_list(segments: DataFrame, key: str, column: str) -> Column:
-    """All segments as one literal of (id, vector); refused beyond ``MOST_SEGMENTS``."""
+def segment_list(segments: DataFrame, key: str, column: str) -> Column | None:
+    """All segments as one literal of (id, vector); ``None`` if they are more than ``MOST_SEGMENTS``."""
     rows = segments.select(F.col(key).cast("string"), doubles(F.col(column))).limit(MOST_SEGMENTS + 1).collect()
     if len(rows) > MOST_SEGMENTS:
-        raise ValueError(f"more than {MOST_SEGMENTS} segments; join users and segments in blocks instead")
+        return None
     found = F.array(*(F.struct(F.lit(r[0]).alias("id"), literal(r[1]).alias("v")) for r in sorted(rows)))
     return found if rows else found.cast("array<struct<id:string,v:array<double>>>")
 
 
 def nearest_segments(users: DataFrame, segments: DataFrame, k: int, key: str = "segment_id", segment_column: str = "centroid", column: str = "embedding") -> DataFrame:
     """``users`` with their k most similar segments in ``nearest`` (id, score), best first, ties by id; no shuffle."""
-    own = F.transform(segment_list(segments, key, segment_column), lambda s: F.struct((-cosine(F.col(column), s["v"])).alias("far"), s["id"].alias("id")))
+    listed = segment_list(segments, key, segment_column)
+    if listed is None:
+        return users.withColumn("nearest", _nearest_in_blocks(segments, k, key, segment_column)(doubles(F.col(column))))
+    own = F.transform(listed, lambda s: F.struct((-cosine(F.col(column), s["v"])).alias("far"), s["id"].alias("id")))
     best = F.slice(F.array_sort(own), 1, k)
     return users.withColumn("nearest", F.transform(best, lambda s: F.struct(s["id"].alias("id"), (-s["far"]).alias("score"))))
 
 
+def _nearest_in_blocks(segments: DataFrame, k: int, key: str, column: str):
+    """The same for any number of segments: blocks of ``BLOCK_SEGMENTS``, broadcast one by one and multiplied with a batch of users."""
+    context, parts, held = segments.sparkSession.sparkContext, [], []
+
+    def ship() -> None:
+        v = np.array([r[1] for r in held], float)
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        parts.append(context.broadcast(([r[0] for r in held], np.divide(v, size, out=np.zeros_like(v), where=size > 0), size[:, 0] > 0)))
+        held.clear()
+
+    for r in segments.select(F.col(key).cast("string"), doubles(F.col(column))).where(F.col(column).isNotNull()).toLocalIterator():
+        held.append(r)
+        if len(held) == BLOCK_SEGMENTS:
+            ship()
+    if held:
+        ship()
+
+    @F.pandas_udf("array<struct<id:string,score:double>>")
+    def nearest(users):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        best: list[list[tuple[float, str]]] = [[] for _ in users]
+        for part in parts:
+            ids, unit_vectors, real = part.value
+            for lo in range(0, len(users), 256):
+                rows = users.iloc[lo : lo + 256]
+                good = [u is not None and len(u) == unit_vectors.shape[1] for u in rows]
+                u = np.array([x if ok else np.zeros(unit_vectors.shape[1]) for x, ok in zip(rows, good)], float)
+                size = np.linalg.norm(u, axis=1, keepdims=True)
+                score = np.where((size > 0) & real, np.divide(u, size, out=np.zeros_like(u), where=size > 0) @ unit_vectors.T, -1.0)
+                top = np.argpartition(-score, min(k, len(ids) - 1), axis=1)[:, :k] if len(ids) > k else np.tile(np.arange(len(ids)), (len(u), 1))
+                edge = np.take_along_axis(score, top, 1).min(1) if len(ids) > k else np.full(len(u), -2.0)
+                for i in range(len(u)):
+                    # ties with the last of the best are decided by id
+                    found = np.flatnonzero(score[i] >= edge[i])
+                    best[lo + i] = sorted([*best[lo + i], *((-float(score[i, j]), ids[j]) for j in found)])[:k]
+        return pd.Series([[{"id": i, "score": -s} for s, i in x] for x in best])
+
+    return nearest
+
+
 def match_segments(users: DataFrame, segments: DataFrame, dim: int, threshold: float = MATCH_THRESHOLD, fallback: str = "fallback", **names: str) -> DataFrame:
     """``users`` with segment_id, similarity_score, is_fallback and fallback_reason."""
     column = names.get("column", "embedding")
@@ -95,12 +142,24 @@ def wilson_upper(misses: int, n: int, z: float = 1.6448536269514722) -> float:
     return min(1.0, (middle + spread) / (1 + z * z / n))
 
 
+def wilson_upper_column(misses: Column, n: Column, z: float = 1.6448536269514722) -> Column:
+    """``wilson_upper`` of columns."""
+    p, size = misses / n, n.cast("double")
+    middle, spread = p + z * z / (2 * size), z * F.sqrt(p * (1 - p) / size + z * z / (4 * size * size))
+    return F.when(n == 0, 1.0).otherwise(F.least((middle + spread) / (1 + z * z / size), F.lit(1.0)))
+
+
 def recall_audit(exact: DataFrame, found: DataFrame, key: str, salt: str, n: int) -> DataFrame:
-    """Of a sample of exact members, how many the search missed: audited, missed, recall."""
+    """Of a sample of exact members, how many the search missed: audited, missed, recall, recall_lower (one-sided Wilson bound)."""
     sample = salted_sample(exact, key, salt, n)
     flags = sample.select(key).join(found.select(key).distinct().withColumn("_hit", F.lit(1)), key, "left")
     missed = F.count_if(F.col("_hit").isNull())
-    return flags.agg(F.count(F.lit(1)).alias("audited"), missed.alias("missed"), F.round(1 - missed / F.count(F.lit(1)), 6).alias("recall"))
+    return flags.agg(F.count(F.lit(1)).alias("audited"), missed.alias("missed"), F.round(1 - missed / F.count(F.lit(1)), 6).alias("recall"), F.round(1 - wilson_upper_column(missed, F.count(F.lit(1))), 6).alias("recall_lower"))
+
+
+def passes_recall(audit: DataFrame, target: float = 0.95) -> DataFrame:
+    """``audit`` with ``accepted``: whether the bound on the recall reaches the target."""
+    return audit.withColumn("accepted", F.col("recall_lower") >= target)
 
 
 def spherical_kmeans(vectors: DataFrame, k: int, rounds: int = 8, key: str = "vec_id", column: str = "embedding") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_bucket
 from ..functions.safe import ratio6
-from ..operators import backtest, evaluation, features, profiles, uplift
+from ..operators import backtest, evaluation, features, profiles, ranking, uplift
 from ..operators.predicates import is_event
 from ..sources.event_log import raw_events, typed
 from .audience import END, scoped, with_raw
@@ -314,7 +314,7 @@ def interval_join_post_outcome(spark, sf_dir):
 
 @query("cohort_median", "SELECT o_orderstatus, quantile_disc(o_totalprice, 0.5) AS median_price FROM orders GROUP BY o_orderstatus")
 def cohort_median(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY o_totalprice)").alias("median_price"))
+    return ranking.lower_median(spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_orderstatus"], "o_totalprice").withColumnRenamed("median", "median_price")
 
 
 _STATUS = f"{_FUNNEL}, g AS (SELECT *, CASE WHEN response_count < 12 THEN 'insufficient_data' WHEN round(booking_complete_count / response_count, 6) >= 0.9 THEN 'goal_met' ELSE 'goal_not_met' END AS status, CASE WHEN response_count < 12 THEN 'insufficient' WHEN response_count < 100 THEN 'limited' ELSE 'sufficient' END AS evidence FROM f)"
@@ -337,15 +337,6 @@ def run_aggregate_status(spark, sf_dir):
     return evaluation.run_status(_statuses(spark, sf_dir).withColumn("run", F.lit("run1")), "run")
 
 
-@query("allocation_preview", "SELECT s AS subset, count(DISTINCT o_custkey) AS users FROM orders, (SELECT unnest(range(1, 8)) AS s) WHERE (s >> (CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END)) & 1 = 1 GROUP BY s")
-def allocation_preview(spark, sf_dir):
-    """Users of every subset of three segments: each user's segments as bits, then one pass over the few patterns."""
-    bit = F.when(F.col("o_orderstatus") == "O", 1).when(F.col("o_orderstatus") == "F", 2).otherwise(4)
-    patterns = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.bit_or(bit).alias("bits")).groupBy("bits").agg(F.count(F.lit(1)).alias("users"))
-    rows = patterns.select("users", "bits", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("subset")).where(F.col("bits").bitwiseAND(F.col("subset")) > 0)
-    return rows.groupBy(F.col("subset").cast("long").alias("subset")).agg(F.sum("users").alias("users"))
-
-
 # Uplift: units are customers, outcomes their orders
 
 _UNITS = "SELECT c_custkey AS unit, c_acctbal AS score, c_mktsegment AS experiment, (c_custkey % 3 = 0)::int AS treatment, CASE c_custkey % 2 WHEN 0 THEN 0.4 ELSE 0.25 END::double AS probability, c_nationkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1999-01-01') THEN 1 ELSE 0 END AS outcome FROM customer"

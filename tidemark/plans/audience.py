@@ -99,11 +99,11 @@ def contains_any_term(spark, sf_dir):
     return scoped(spark, sf_dir).where(contains_any(destination_text(), ["Jeju", "제주", "NEW"])).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"))
 
 
-@query("split_values", "SELECT s_suppkey, ['seoul', 'busan', lower(s_name)] AS parts FROM supplier")
+@query("split_values", "SELECT s_suppkey, ['busan', 'seoul', lower(s_name), '차이나타운'] AS parts FROM supplier")
 def split_values_query(spark, sf_dir):
     from ..functions.text import split_values
 
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", split_values(F.concat(F.lit("Seoul , BUSAN또는"), "s_name", F.lit("/ ·"))).alias("parts"))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", split_values(F.concat(F.lit("Seoul ，BUSAN또는"), "s_name", F.lit("/ ·seoul혹은차이나타운"))).alias("parts"))
 
 
 @query("json_extract", "SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events")

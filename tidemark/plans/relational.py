@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_bucket
 from ..functions.vectors import cosine, is_valid
-from ..operators import ledger, ranking, vector_search
+from ..operators import allocation, ledger, ranking, vector_search
 from ..operators.intervals import binned_range_join
 
 QUERIES: dict = {}
@@ -56,8 +56,9 @@ def semi_join_population(spark, sf_dir):
 
 @query("anti_join_exclusion", "SELECT c_mktsegment, count(*) AS members FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS state FROM orders GROUP BY o_custkey) WHERE state IN ('O', 'P')) GROUP BY c_mktsegment")
 def anti_join_exclusion(spark, sf_dir):
-    state = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("state")).where("state IN ('O', 'P')")
-    return table(spark, sf_dir, "customer").join(state, "c_custkey", "left_anti").groupBy("c_mktsegment").agg(n_rows().alias("members"))
+    ledger_rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.col("o_orderstatus").alias("state"))
+    held = allocation.held_users(ledger_rows, "c_custkey", "o_orderkey", ("O", "P"))
+    return table(spark, sf_dir, "customer").join(held, "c_custkey", "left_anti").groupBy("c_mktsegment").agg(n_rows().alias("members"))
 
 
 @query("not_exists_nested", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey = c.c_custkey AND l_returnflag = 'R')")
@@ -67,15 +68,14 @@ def not_exists_nested(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey").join(bad, "c_custkey", "left_anti")
 
 
-@query(
-    "active_target_rule",
-    "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey) OR EXISTS (SELECT 1 FROM orders o WHERE o_custkey = c.c_custkey AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND l_linestatus = 'F'))",
-)
+@query("active_target_rule", "SELECT c_custkey FROM customer c WHERE c_custkey % 10 <> 0 AND (NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey) OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey AND o_orderstatus <> 'F'))")
 def active_target_rule(spark, sf_dir):
-    """Active unless bound, or if some binding isn't terminal."""
-    ended = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("ended", F.lit(True))
-    bound = table(spark, sf_dir, "orders").join(ended, "o_orderkey", "left").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.bool_or(F.col("ended").isNull()).alias("running"))
-    return table(spark, sf_dir, "customer").join(bound, "c_custkey", "left").where("running IS NULL OR running").select("c_custkey")
+    """Customers as targets, bound by their orders to runs, which ended if filled."""
+    targets = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 10 == 0, "stopped").otherwise("confirmed").alias("status"))
+    orders = table(spark, sf_dir, "orders")
+    bindings = orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("run_id"))
+    runs = orders.select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"))
+    return allocation.active_targets(targets, bindings, runs, ["c_custkey"]).select("c_custkey")
 
 
 @query(
@@ -103,22 +103,30 @@ def unbound_or_active(spark, sf_dir):
     return j.agg(F.min("c_custkey").alias("c_custkey"))
 
 
-@query("every_member_reserved", "SELECT o_orderkey, n AS members FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o_orderkey AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l.l_suppkey AND s_acctbal > 1000))")
+def _snapshots(spark, sf_dir):
+    """Orders as snapshots of their customer's plan, their lines' suppliers as members, and what happened to those as reservations."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    snapshots = o.select(F.col("o_orderkey").alias("snapshot_id"), F.col("o_custkey").alias("plan_id"), (F.col("o_orderkey") % 7).alias("final_user_count"))
+    members = li.select(F.col("l_orderkey").alias("snapshot_id"), F.col("l_suppkey").alias("user_id"))
+    lines = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    state = F.when(F.col("l_returnflag") == "R", "released").when(F.col("l_returnflag") == "A", "consumed").otherwise("reserved")
+    reservations = lines.select(F.col("o_custkey").alias("plan_id"), F.col("l_suppkey").alias("user_id"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000 + F.col("l_partkey")).alias("revision"), state.alias("state"))
+    return snapshots, members, reservations
+
+
+@query(
+    "every_member_reserved",
+    "WITH x AS (SELECT o_custkey AS p, l_suppkey AS u, l_orderkey AS k, (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey AS r, CASE l_returnflag WHEN 'R' THEN 'released' WHEN 'A' THEN 'consumed' ELSE 'reserved' END AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey), s AS (SELECT p, u, max({'r': r, 'f': f}).f AS f FROM x GROUP BY p, u) SELECT k AS snapshot_id FROM x JOIN s USING (p, u) GROUP BY k HAVING bool_and(s.f <> 'released')",
+)
 def every_member_reserved(spark, sf_dir):
-    """Relational division: orders all of whose members have a reservation."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    reserved = table(spark, sf_dir, "supplier").where("s_acctbal > 1000").select(F.col("s_suppkey").alias("l_suppkey"))
-    missing = lines.join(reserved, "l_suppkey", "left_anti").select("l_orderkey").distinct()
-    sizes = lines.groupBy("l_orderkey").agg(n_rows().alias("members"))
-    return sizes.join(missing, "l_orderkey", "left_anti").select(F.col("l_orderkey").alias("o_orderkey"), "members")
+    """Relational division: snapshots all of whose members have a reservation."""
+    return allocation.wholly_reserved(*_snapshots(spark, sf_dir))
 
 
-@query("snapshot_integrity", "SELECT o_orderkey, coalesce(n, 0) AS members, c_custkey IS NOT NULL AS has_owner, coalesce(n, 0) > 0 AS has_members, coalesce(q >= n, false) AS quantity_ok FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
+@query("snapshot_integrity", "SELECT o_orderkey AS snapshot_id, coalesce(n, 0) AS members, coalesce(d, 0) AS distinct_members, coalesce(n, 0) = o_orderkey % 7 AS count_matches, coalesce(n, 0) = coalesce(d, 0) AS members_distinct, coalesce(n, 0) > 0 AS not_empty FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_suppkey) AS d FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
 def snapshot_integrity(spark, sf_dir):
-    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(n_rows().alias("n"), F.sum("l_quantity").alias("q"))
-    j = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"), "left").join(counts, "o_orderkey", "left")
-    n = F.coalesce("n", F.lit(0))
-    return j.select("o_orderkey", n.alias("members"), F.col("c_custkey").isNotNull().alias("has_owner"), (n > 0).alias("has_members"), F.coalesce(F.col("q") >= F.col("n"), F.lit(False)).alias("quantity_ok"))
+    snapshots, members, _ = _snapshots(spark, sf_dir)
+    return allocation.integrity(snapshots, members)
 
 
 @query("join_json_path", "SELECT s_suppkey, count(*) AS n_events FROM events JOIN supplier ON s_suppkey = CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) GROUP BY s_suppkey")
@@ -127,12 +135,18 @@ def join_json_path(spark, sf_dir):
     return e.join(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey").groupBy("s_suppkey").agg(n_rows().alias("n_events"))
 
 
-@query("retry_lookup", "SELECT o_custkey, count(*) AS n_orders FROM (SELECT o_custkey, o_orderkey, list_sort(list(l_linenumber)) AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) WHERE lines = [1, 2, 3] GROUP BY o_custkey")
+@query(
+    "retry_lookup",
+    "SELECT l_orderkey AS plan_id, l_orderkey * 10 + l_linenumber AS snapshot_id, l_linenumber AS segment_id FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 2 = 1 AND o_orderpriority = '1-URGENT' AND o_orderstatus IN ('F', 'P') GROUP BY o_orderkey HAVING list_sort(list(DISTINCT l_linenumber)) = [1, 2, 3])",
+)
 def retry_lookup(spark, sf_dir):
-    """Plans whose members are exactly a given list, in any order."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list("l_linenumber")).alias("lines"))
-    same = lines.where(F.col("lines") == F.array(F.lit(1), F.lit(2), F.lit(3)))
-    return table(spark, sf_dir, "orders").join(same, "o_orderkey").groupBy("o_custkey").agg(n_rows().alias("n_orders"))
+    """The settled plans that were made from segments 1, 2 and 3 and their sources."""
+    status = F.when(F.col("o_orderstatus") == "F", "finalized").when(F.col("o_orderstatus") == "P", "locked").otherwise("open")
+    promotion = F.concat(F.lit("p"), (F.col("o_custkey") % 2).cast("string"))
+    plans = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plan_id"), promotion.alias("promotion_id"), F.col("o_orderpriority").alias("target_analysis_id"), status.alias("status"))
+    n = F.col("l_linenumber")
+    snapshots = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("plan_id"), (F.col("l_orderkey") * 10 + n).alias("snapshot_id"), n.alias("segment_id"), F.concat(F.lit("s"), n.cast("string")).alias("source_snapshot_id"))
+    return allocation.retry(plans, snapshots, "p1", "1-URGENT", ["3", "1", "2"], ["s1", "s2", "s3"]).select("plan_id", "snapshot_id", "segment_id")
 
 
 @query("unnest_with_ordinality", "SELECT c_custkey, unnest(string_split(c_name, '#')) AS part, unnest(range(1, len(string_split(c_name, '#')) + 1)) AS ordinal FROM customer")
@@ -219,15 +233,37 @@ def distinct_on_latest(spark, sf_dir):
 
 @query(
     "allocation_winners",
-    "SELECT l_partkey AS user_id, l_suppkey AS segment_id, l_orderkey AS snapshot_id FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY s_nationkey, (l_quantity - 10) / nullif(l_discount, 0) DESC NULLS LAST, l_suppkey, l_orderkey, l_linenumber) AS r FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 40)) WHERE r = 1",
+    "SELECT l_partkey AS user_id, l_suppkey AS segment_id, l_suppkey AS snapshot_id, round(fit, 6) AS normalized_fit FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY s_nationkey, fit DESC NULLS LAST, l_suppkey) AS r FROM (SELECT *, (l_quantity - 10) / nullif(s_suppkey % 4, 0) AS fit FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 40))) WHERE r = 1",
 )
 def allocation_winners(spark, sf_dir):
-    """One segment per user: by priority, then normalised fit (nulls last), then segment; excluded users go first."""
-    excluded = table(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_partkey").alias("l_partkey"))
-    rows = table(spark, sf_dir, "lineitem").join(excluded, "l_partkey", "left_anti").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-    fit = (F.col("l_quantity") - 10) / F.nullif("l_discount", F.lit(0.0))
-    best = ranking.first_per_key(rows, ["l_partkey"], [F.col("s_nationkey"), fit.desc_nulls_last(), F.col("l_suppkey"), F.col("l_orderkey"), F.col("l_linenumber")])
-    return best.select(F.col("l_partkey").alias("user_id"), F.col("l_suppkey").alias("segment_id"), F.col("l_orderkey").alias("snapshot_id"))
+    """Suppliers as sources, their parts as members: one segment per user, users of large parts are excluded."""
+    members = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("snapshot_id"), F.col("l_partkey").alias("user_id"), F.col("l_quantity").alias("behavior_fit_score"))
+    key = F.col("s_suppkey")
+    sources = table(spark, sf_dir, "supplier").select(key.alias("segment_id"), key.alias("snapshot_id"), F.col("s_nationkey").alias("priority"), F.lit(10.0).alias("score_threshold"), (key % 4).cast("double").alias("semantic_margin"))
+    excluded = table(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_partkey").alias("user_id"))
+    found = allocation.winners(members, sources, excluded)
+    return found.withColumn("normalized_fit", F.round("normalized_fit", 6))
+
+
+#: segment, snapshot, priority, threshold, margin, least users
+_SOURCES = [("a", 1, 2, 10.0, 2.0, 100), ("b", 2, 1, 20.0, 0.0, 700), ("c", 3, 1, 5.0, 4.0, 10), ("d", 4, 3, 0.0, 1.0, 1)]
+
+
+@query(
+    "allocation_preview",
+    f"""WITH s(segment_id, snapshot_id, priority, threshold, margin, least_users) AS (VALUES {", ".join(map(str, _SOURCES))}),
+  i AS (SELECT *, row_number() OVER (ORDER BY segment_id) - 1 AS i FROM s), x AS (SELECT mask, i.* FROM i, (SELECT unnest(range(1, 16)) AS mask) WHERE (mask >> i) & 1 = 1),
+  names AS (SELECT mask, list(segment_id ORDER BY segment_id) AS segments FROM x GROUP BY mask),
+  r AS (SELECT mask, segment_id, row_number() OVER (PARTITION BY mask, l_partkey ORDER BY priority, (l_quantity - threshold) / nullif(margin, 0) DESC NULLS LAST, segment_id) AS r FROM x JOIN lineitem ON l_linenumber = snapshot_id),
+  w AS (SELECT mask, segment_id, count(*) AS n FROM r WHERE r = 1 GROUP BY mask, segment_id)
+  SELECT segments, x.segment_id, coalesce(n, 0) AS users, coalesce(n, 0) >= least_users AS meets_min_sample_size, CASE WHEN coalesce(n, 0) = 0 THEN 'no_eligible_audience' WHEN n < least_users THEN 'insufficient_sample' ELSE 'targetable' END AS audience_status
+  FROM x JOIN names USING (mask) LEFT JOIN w ON w.mask = x.mask AND w.segment_id = x.segment_id""",
+)
+def allocation_preview(spark, sf_dir):
+    """What every set of four segments would allocate, from one pass over the members."""
+    sources = spark.createDataFrame(_SOURCES, "segment_id string, snapshot_id int, priority int, score_threshold double, semantic_margin double, min_sample_size long")
+    members = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("snapshot_id"), F.col("l_partkey").alias("user_id"), F.col("l_quantity").alias("behavior_fit_score"))
+    return allocation.preview(members, sources)
 
 
 @query("retrieval_rank", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")
@@ -343,7 +379,7 @@ def score_pass_rate(spark, sf_dir):
     return vector_search.pass_rate(e, q, 0.05, "vec_id", "probe", 200)
 
 
-@query("recall_audit", f"SELECT count(*) AS audited, count(*) FILTER (label = 0) AS missed, round(1 - count(*) FILTER (label = 0) / count(*), 6) AS recall FROM (SELECT * FROM embeddings WHERE {_SCORE} >= 0.0 ORDER BY md5(vec_id || 'audit'), vec_id LIMIT 100)")
+@query("recall_audit", f"SELECT count(*) AS audited, count(*) FILTER (label = 0) AS missed, round(1 - count(*) FILTER (label = 0) / count(*), 6) AS recall, round(1 - least((m / n + z * z / (2 * n) + z * sqrt(m / n * (1 - m / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 1.0), 6) AS recall_lower FROM (SELECT *, count(*) OVER () AS n, count(*) FILTER (label = 0) OVER () AS m, 1.6448536269514722::double AS z FROM (SELECT * FROM embeddings WHERE {_SCORE} >= 0.0 ORDER BY md5(vec_id || 'audit'), vec_id LIMIT 100)) GROUP BY n, m, z")
 def recall_audit(spark, sf_dir):
     e, q = _vectors(spark, sf_dir)
     exact = vector_search.above(e, q, 0.0)

@@ -69,8 +69,8 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def typed(raw: DataFrame) -> DataFrame:
     """``raw`` with its payload as columns; a missing value is an empty text."""
-    p = F.from_json("properties_json", "map<string,string>")
-    return raw.withColumn("_p", p).select(*(c for c in raw.columns if c != "properties_json"), *(F.coalesce(F.element_at("_p", key), F.lit("")).alias(key) for key in PAYLOAD_KEYS))
+    p = F.from_json("properties_json", ", ".join(f"{key} string" for key in PAYLOAD_KEYS))
+    return raw.withColumn("_p", p).select(*(c for c in raw.columns if c != "properties_json"), *(F.coalesce(F.col(f"_p.{key}"), F.lit("")).alias(key) for key in PAYLOAD_KEYS))
 
 
 def instant(at: datetime) -> Column:
