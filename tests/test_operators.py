@@ -181,7 +181,8 @@ def test_match_segments_reasons(spark):
     none = vector_search.match_segments(users.where("vec_id = 1"), segs.where("false"), 4).first()
     assert none["fallback_reason"] == "no_candidate"
     assert vector_search.search_method(50_000) == "exact" and vector_search.search_method(500_001) == "index"
-    assert 0 < vector_search.wilson_upper(0, 100) < 0.05 and vector_search.wilson_upper(0, 0) == 1.0
+    upper = lambda m, n: one(spark, vector_search.wilson_upper(F.lit(m), F.lit(n)))
+    assert math.isclose(upper(0, 100), 0.03699348, rel_tol=1e-5) and upper(0, 0) == 1.0 and upper(5, 5) == 1.0
 
 
 def test_qini_of_an_even_split(spark):
@@ -316,3 +317,20 @@ def test_allocation(spark):
     assert [r["segment_id"] for r in active.collect()] == ["A"]
     held = spark.createDataFrame([(7, "reserved", "n", "A", "p", "x"), (8, "released", "n", "A", "p", "x"), (9, "consumed", "n", "B", "p", "y")], "user_id long, state string, " + key)
     assert col(allocation.excluded_users(held, active)) == [7]
+
+
+def test_rank_quality_of_three_scenarios(spark):
+    from tidemark.operators import backtest, policies
+
+    rows = [("a", 1, 0.5, 0.2), ("a", 2, 0.3, 0.2), ("a", 3, 0.1, 0.2), ("b", 1, 0.4, 0.3), ("b", 2, 0.4, 0.3), ("c", 2, 0.1, 0.1), ("d", 1, 0.9, 0.0), ("a", 4, 9.0, 0.2)]
+    r = backtest.rank_quality(spark.createDataFrame(rows, "scenario string, rank int, actual double, baseline double"), "scenario").first()
+    assert (r["scenarios"], r["candidates"], r["beating"], r["multi"], r["three"], r["comparable"]) == (3, 6, 4, 2, 1, 1)
+    assert (r["concordant"], r["discordant"], r["tied"], r["rank_one_best_rate"], r["rank_one_tied_rate"]) == (3, 0, 1, 1.0, 0.5)
+    assert math.isclose(r["any_beat_rate"], 2 / 3) and math.isclose(r["all_beat_rate"], 1 / 3) and math.isclose(r["mean_worst_lift_pp"], 0.0, abs_tol=1e-9)
+    assert (r["rank_1"], r["rank_2"], r["rank_3"]) == (2, 3, 1) and math.isclose(r["rank_1_coverage"], 2 / 3) and math.isclose(r["mean_one_minus_two_pp"], 10.0)
+    none = backtest.rank_quality(spark.createDataFrame(rows[-2:], "scenario string, rank int, actual double, baseline double"), "scenario").first()
+    assert none["scenarios"] == 0 and none["beating_rate"] is None
+    c = policies.Criterion
+    rules = [c("scenarios", ">=", 3, True), c("beating_rate", ">=", 0.6), c("tie_rate", "<=", 0.3)]
+    assert policies.verdict(rules, r.asDict()) == "passed" and policies.verdict(rules, none.asDict()) == "inconclusive" and policies.verdict(rules[1:], r.asDict()) == "inconclusive"
+    assert policies.verdict([*rules, c("mean_lift_pp", ">", 99)], r.asDict()) == "failed"

@@ -74,17 +74,54 @@ def brier(results: DataFrame, predicted: Column, size: Column, successes: Column
     return results.agg(F.when(F.sum(size) > 0, error / F.sum(size)).otherwise(0.0).alias("brier"), F.avg(F.abs(p - actual)).alias("mae"), F.avg(p - actual).alias("bias"))
 
 
-def rank_quality(outcomes: DataFrame, scenario: str, tolerance: float = 1e-12) -> DataFrame:
-    """Over scenarios with a baseline: candidates that beat it, ordered pairs that agree, disagree or tie.
+def _tied(a: Column, b: Column) -> Column:
+    """Equal within a billionth of the larger, or within 1e-12."""
+    return F.abs(a - b) <= F.greatest(F.lit(1e-9) * F.greatest(F.abs(a), F.abs(b)), F.lit(1e-12))
 
-    ``outcomes`` has scenario, rank (1 to 3), actual and baseline; a scenario has three rows at most.
+
+def rank_quality(outcomes: DataFrame, scenario: str) -> DataFrame:
+    """One row of figures over the scenarios whose first ranked candidate has a baseline above 0.
+
+    ``outcomes`` has scenario, rank, actual and baseline; ranks 1 to 3 count, each
+    once in a scenario, so a scenario is one row of an aggregation and its pairs
+    are columns.  Rates without a denominator are null, means without values 0.
     """
-    own = outcomes.where(F.col("rank").between(1, 3))
-    ok = own.groupBy(scenario).agg(F.min_by("baseline", "rank").alias("_b")).where("_b > 0").select(scenario)
-    own = own.join(ok, scenario)
-    a, b = own.alias("a"), own.alias("b")
-    gap = F.col("a.actual") - F.col("b.actual")
-    pairs = a.join(b, (F.col(f"a.{scenario}") == F.col(f"b.{scenario}")) & (F.col("a.rank") < F.col("b.rank")))
-    pair_counts = pairs.agg(F.count_if(gap > tolerance).alias("concordant"), F.count_if(gap < -tolerance).alias("discordant"), F.count_if(F.abs(gap) <= tolerance).alias("tied"))
-    singles = own.agg(F.count_distinct(scenario).alias("scenarios"), F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("actual") > F.col("baseline")).alias("beating"), F.avg((F.col("actual") - F.col("baseline")) * 100).alias("mean_lift_pp"))
-    return singles.join(F.broadcast(pair_counts))
+    at = lambda r: F.max(F.when(F.col("rank") == r, F.struct("actual", "baseline")))
+    rows = outcomes.where(F.col("rank").between(1, 3)).groupBy(scenario).agg(*(at(r).alias(f"r{r}") for r in (1, 2, 3)))
+    rows = rows.where(F.coalesce("r1.baseline", "r2.baseline", "r3.baseline") > 0)
+    actual = {r: F.col(f"r{r}.actual") for r in (1, 2, 3)}
+    lift = {r: (F.col(f"r{r}.actual") - F.col(f"r{r}.baseline")) * 100 for r in (1, 2, 3)}
+    beats = {r: F.col(f"r{r}.actual") > F.col(f"r{r}.baseline") for r in (1, 2, 3)}
+    one = lambda c: F.when(c, 1).otherwise(0)
+    there = {r: one(F.col(f"r{r}").isNotNull()) for r in (1, 2, 3)}
+    n = there[1] + there[2] + there[3]
+    pairs = [(1, 2), (1, 3), (2, 3)]
+    both = {p: F.col(f"r{p[0]}").isNotNull() & F.col(f"r{p[1]}").isNotNull() for p in pairs}
+    tie = {p: both[p] & _tied(actual[p[0]], actual[p[1]]) for p in pairs}
+    count = lambda cs: sum((one(F.coalesce(c, F.lit(False))) for c in cs), F.lit(0))
+    strict = F.col("r1").isNotNull()
+    for r in (2, 3):
+        strict = strict & (F.col(f"r{r}").isNull() | ((actual[1] > actual[r]) & ~_tied(actual[1], actual[r])))
+    best = F.greatest(*(F.coalesce(actual[r], F.lit(float("-inf"))) for r in (1, 2, 3)))
+    rows = rows.select(
+        "*", n.alias("n"), count(beats.values()).alias("n_beats"), F.least(*lift.values()).alias("worst"), count(tie.values()).alias("tied"),
+        count([both[p] & (actual[p[0]] > actual[p[1]]) & ~tie[p] for p in pairs]).alias("concordant"), count([both[p] & (actual[p[0]] < actual[p[1]]) & ~tie[p] for p in pairs]).alias("discordant"),
+        one(F.coalesce(strict, F.lit(False))).alias("strict"), one(F.coalesce(_tied(actual[1], best), F.lit(False))).alias("level"),
+    )
+    directed, many = F.col("concordant") + F.col("discordant") > 0, F.col("n") >= 2
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    sums = rows.agg(
+        F.count(F.lit(1)).alias("scenarios"), total("n").alias("candidates"), total("n_beats").alias("beating"), F.sum(sum((F.coalesce(lift[r], F.lit(0.0)) for r in lift), F.lit(0.0))).alias("_lift"),
+        F.count_if(F.col("n_beats") > 0).alias("any_beat"), F.count_if(F.col("n_beats") == F.col("n")).alias("all_beat"), F.coalesce(F.avg("worst"), F.lit(0.0)).alias("mean_worst_lift_pp"),
+        F.count_if(many).alias("multi"), F.count_if(F.col("n") == 3).alias("three"), F.count_if(directed).alias("comparable"), F.count_if(directed & (F.col("strict") == 1)).alias("rank_one_best"), F.count_if(many & (F.col("level") == 1) & ~(directed & (F.col("strict") == 1))).alias("rank_one_tied"),
+        total("concordant").alias("concordant"), total("discordant").alias("discordant"), total("tied").alias("tied"), F.coalesce(F.avg((actual[1] - actual[2]) * 100), F.lit(0.0)).alias("mean_one_minus_two_pp"),
+        *(f for r in (1, 2, 3) for f in (F.count(f"r{r}").alias(f"rank_{r}"), F.count_if(beats[r]).alias(f"rank_{r}_beating"), F.avg(lift[r]).alias(f"rank_{r}_mean_lift_pp"))),
+    )
+    c = F.col
+    rate = lambda a, b: F.when(b > 0, a / b)
+    return sums.select(
+        "scenarios", "candidates", "beating", rate(c("_lift"), c("candidates")).alias("mean_lift_pp"), rate(c("beating"), c("candidates")).alias("beating_rate"), rate(c("any_beat"), c("scenarios")).alias("any_beat_rate"), rate(c("all_beat"), c("scenarios")).alias("all_beat_rate"),
+        "mean_worst_lift_pp", "multi", "three", "comparable", rate(c("comparable"), c("scenarios")).alias("comparable_rate"), rate(c("rank_one_best"), c("comparable")).alias("rank_one_best_rate"), rate(c("rank_one_tied"), c("multi")).alias("rank_one_tied_rate"),
+        "concordant", "discordant", "tied", rate(c("concordant"), c("concordant") + c("discordant")).alias("pair_accuracy"), rate(c("tied"), c("concordant") + c("discordant") + c("tied")).alias("tie_rate"), "mean_one_minus_two_pp",
+        *(f for r in (1, 2, 3) for f in (c(f"rank_{r}"), rate(c(f"rank_{r}"), c("scenarios")).alias(f"rank_{r}_coverage"), rate(c(f"rank_{r}_beating"), c(f"rank_{r}")).alias(f"rank_{r}_beating_rate"), c(f"rank_{r}_mean_lift_pp"))),
+    )

@@ -6,7 +6,7 @@ import hashlib
 import json
 import math
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -70,3 +70,29 @@ def choose_ratio(lifts: Mapping[float, float], captures: Mapping[float, float],
     """The ratio of highest lift among those that keep enough of the outcomes; everyone if none does."""
     fit = [r for r in lifts if captures.get(r, 0.0) >= least_capture and lifts[r] > 0]
     return max(fit, key=lambda r: (lifts[r], r)) if fit else 1.0
+
+
+@dataclass(frozen=True)
+class Criterion:
+    """A bound on a figure, which speaks for the evidence or for the quality."""
+
+    figure: str
+    operator: str
+    bound: float
+    evidence: bool = False
+
+    def passed(self, figures: Mapping[str, float | None]) -> bool:
+        value = figures.get(self.figure)
+        if self.operator not in (">=", "<=", ">"):
+            raise ValueError(f"unknown operator: {self.operator}")
+        if value is None:
+            return False
+        return value >= self.bound if self.operator == ">=" else value <= self.bound if self.operator == "<=" else value > self.bound
+
+
+def verdict(criteria: Sequence[Criterion], figures: Mapping[str, float | None]) -> str:
+    """inconclusive without evidence, or if any of it fails; else passed if everything passes, or failed."""
+    evidence = [c for c in criteria if c.evidence]
+    if not evidence or not all(c.passed(figures) for c in evidence):
+        return "inconclusive"
+    return "passed" if all(c.passed(figures) for c in criteria) else "failed"

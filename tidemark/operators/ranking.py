@@ -106,3 +106,9 @@ def jaccard(members: DataFrame, group: str, member: str) -> DataFrame:
     both = a.join(b, (F.col(f"a.{member}") == F.col(f"b.{member}")) & (F.col(f"a.{group}") < F.col(f"b.{group}"))).groupBy(F.col(f"a.{group}").alias("left"), F.col(f"b.{group}").alias("right")).agg(F.count(F.lit(1)).alias("shared"))
     sized = both.join(sizes.select(F.col(group).alias("left"), F.col("n").alias("n_left")), "left").join(sizes.select(F.col(group).alias("right"), F.col("n").alias("n_right")), "right")
     return sized.select("left", "right", (F.col("shared") / (F.col("n_left") + F.col("n_right") - F.col("shared"))).alias("similarity"))
+
+
+def overlap_counts(members: DataFrame, positives: DataFrame, group: str, member: str) -> DataFrame:
+    """Per group: its members, and how many of them are among the positives."""
+    known = positives.select(member).distinct().withColumn("_positive", F.lit(True))
+    return members.join(known, member, "left").groupBy(group).agg(F.count(F.lit(1)).alias("members"), F.count("_positive").alias("positives"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -133,33 +132,32 @@ def pass_rate(vectors: DataFrame, query, threshold: float, key: str, salt: str,
     return own.agg(F.count(F.lit(1)).alias("sampled"), passed.alias("passed"), F.round(passed / F.count(F.lit(1)), 6).alias("rate"))
 
 
-def wilson_upper(misses: int, n: int, z: float = 1.6448536269514722) -> float:
-    """The upper bound of a one-sided Wilson interval for a rate of misses."""
-    if n == 0:
-        return 1.0
-    p = misses / n
-    middle, spread = p + z * z / (2 * n), z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return min(1.0, (middle + spread) / (1 + z * z / n))
+#: The target and confidence of a recall audit, and the normal quantile of (1 + confidence) / 2.
+TARGET_RECALL, CONFIDENCE, Z = 0.95, 0.95, 1.959963984540054
 
 
-def wilson_upper_column(misses: Column, n: Column, z: float = 1.6448536269514722) -> Column:
-    """``wilson_upper`` of columns."""
+def wilson_upper(misses: Column, n: Column, z: float = Z) -> Column:
+    """The upper bound of a Wilson interval for a rate of misses; 1 without trials."""
     p, size = misses / n, n.cast("double")
     middle, spread = p + z * z / (2 * size), z * F.sqrt(p * (1 - p) / size + z * z / (4 * size * size))
     return F.when(n == 0, 1.0).otherwise(F.least((middle + spread) / (1 + z * z / size), F.lit(1.0)))
 
 
-def recall_audit(exact: DataFrame, found: DataFrame, key: str, salt: str, n: int) -> DataFrame:
-    """Of a sample of exact members, how many the search missed: audited, missed, recall, recall_lower (one-sided Wilson bound)."""
-    sample = salted_sample(exact, key, salt, n)
-    flags = sample.select(key).join(found.select(key).distinct().withColumn("_hit", F.lit(1)), key, "left")
-    missed = F.count_if(F.col("_hit").isNull())
-    return flags.agg(F.count(F.lit(1)).alias("audited"), missed.alias("missed"), F.round(1 - missed / F.count(F.lit(1)), 6).alias("recall"), F.round(1 - wilson_upper_column(missed, F.count(F.lit(1))), 6).alias("recall_lower"))
+def recall_audit(vectors: DataFrame, query, threshold: float, retrieved: DataFrame, key: str, salt: str, n: int, target: float = TARGET_RECALL) -> DataFrame:
+    """How much of what reaches the threshold a search has retrieved, from a sample of what it hasn't.
 
-
-def passes_recall(audit: DataFrame, target: float = 0.95) -> DataFrame:
-    """``audit`` with ``accepted``: whether the bound on the recall reaches the target."""
-    return audit.withColumn("accepted", F.col("recall_lower") >= target)
+    retrieved_positive, population (not retrieved), audited, missed, estimated_recall,
+    recall_lower_bound (with the Wilson bound on the misses) and accepted.
+    """
+    flags = scored(vectors, query).join(retrieved.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left")
+    good = F.col("score") >= threshold
+    whole = flags.agg(F.count_if(F.col("_hit") & good).alias("retrieved_positive"), F.count_if(F.col("_hit").isNull()).alias("population"))
+    sample = salted_sample(flags.where("_hit IS NULL"), key, salt, n).agg(F.count(F.lit(1)).alias("audited"), F.count_if(good).alias("missed"))
+    got, size, tried, missed = F.col("retrieved_positive"), F.col("population"), F.col("audited"), F.col("missed")
+    recall = lambda lost: F.when(got + lost > 0, got / (got + lost)).otherwise(1.0)
+    estimate = recall(F.when(tried > 0, missed / tried * size).otherwise(size.cast("double")))
+    j = whole.join(F.broadcast(sample)).withColumn("estimated_recall", estimate).withColumn("recall_lower_bound", recall(wilson_upper(missed, tried) * size))
+    return j.withColumn("accepted", F.col("recall_lower_bound") >= target)
 
 
 def spherical_kmeans(vectors: DataFrame, k: int, rounds: int = 8, key: str = "vec_id", column: str = "embedding") -> DataFrame:

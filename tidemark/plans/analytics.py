@@ -492,13 +492,29 @@ def brier_summary(spark, sf_dir):
     return found.select(*(F.round(c, 6).alias(c) for c in found.columns))
 
 
-_RQ = "WITH t AS (SELECT srch_destination_id AS scenario, c AS rank, count(*) FILTER (is_booking = 1) / count(*) AS actual FROM (SELECT *, (row_id % 3 + 1)::int AS c FROM ({wide})) GROUP BY ALL), b AS (SELECT srch_destination_id AS scenario, count(*) FILTER (is_booking = 1) / count(*) AS baseline FROM ({wide}) GROUP BY ALL), r AS (SELECT t.*, baseline FROM t JOIN b USING (scenario) WHERE baseline > 0)"
+_RQ = "WITH t AS (SELECT srch_destination_id AS scenario, c AS rank, count(*) FILTER (is_booking = 1) / count(*) AS actual FROM (SELECT *, (user_id % 3 + 1)::int AS c FROM ({wide})) GROUP BY ALL), b AS (SELECT srch_destination_id AS scenario, count(*) FILTER (is_booking = 1) / count(*) AS baseline FROM ({wide}) GROUP BY ALL), r AS (SELECT t.*, baseline FROM t JOIN b USING (scenario) WHERE baseline > 0)"
 
 
-@query("rank_quality", _RQ.format(wide=_WIDE) + " SELECT (SELECT count(DISTINCT scenario) FROM r) AS scenarios, (SELECT count(*) FROM r) AS candidates, (SELECT count(*) FROM r WHERE actual > baseline) AS beating, (SELECT round(avg((actual - baseline) * 100), 6) FROM r) AS mean_lift_pp, count(*) FILTER (x.actual - y.actual > 1e-12) AS concordant, count(*) FILTER (y.actual - x.actual > 1e-12) AS discordant, count(*) FILTER (abs(x.actual - y.actual) <= 1e-12) AS tied FROM r x JOIN r y ON x.scenario = y.scenario AND x.rank < y.rank")
+_TIED = "abs({a} - {b}) <= greatest(1e-9 * greatest(abs({a}), abs({b})), 1e-12)"
+_T = lambda a, b: _TIED.format(a=a, b=b)
+
+
+@query(
+    "rank_quality",
+    _RQ.format(wide=_WIDE)
+    + f""", s AS (SELECT scenario, any_value(baseline) AS b, any_value(actual) FILTER (rank = 1) AS x, any_value(actual) FILTER (rank = 2) AS y, any_value(actual) FILTER (rank = 3) AS z, count(*) AS n, count(*) FILTER (actual > baseline) AS w, min(actual - baseline) * 100 AS worst FROM r GROUP BY scenario),
+  p AS (SELECT a.scenario, count(*) FILTER (NOT {_T("a.actual", "c.actual")} AND a.actual > c.actual) AS con, count(*) FILTER (NOT {_T("a.actual", "c.actual")} AND a.actual < c.actual) AS dis, count(*) FILTER ({_T("a.actual", "c.actual")}) AS tie FROM r a JOIN r c ON a.scenario = c.scenario AND a.rank < c.rank GROUP BY a.scenario),
+  q AS (SELECT s.*, coalesce(con, 0) AS con, coalesce(dis, 0) AS dis, coalesce(tie, 0) AS tie, x IS NOT NULL AND (y IS NULL OR (x > y AND NOT {_T("x", "y")})) AND (z IS NULL OR (x > z AND NOT {_T("x", "z")})) AS strict, x IS NOT NULL AND {_T("x", "greatest(x, y, z)")} AS level FROM s LEFT JOIN p USING (scenario))
+  SELECT count(*) AS scenarios, sum(n)::bigint AS candidates, sum(w)::bigint AS beating, round((SELECT avg((actual - baseline) * 100) FROM r), 6) AS mean_lift_pp, round(sum(w) / sum(n), 6) AS beating_rate, round(count(*) FILTER (w > 0) / count(*), 6) AS any_beat_rate, round(count(*) FILTER (w = n) / count(*), 6) AS all_beat_rate, round(avg(worst), 6) AS mean_worst_lift_pp,
+    count(*) FILTER (n > 1) AS multi, count(*) FILTER (n = 3) AS three, count(*) FILTER (con + dis > 0) AS comparable, round(count(*) FILTER (con + dis > 0) / count(*), 6) AS comparable_rate, round(count(*) FILTER (con + dis > 0 AND strict) / nullif(count(*) FILTER (con + dis > 0), 0), 6) AS rank_one_best_rate,
+    round(count(*) FILTER (n > 1 AND level AND NOT (con + dis > 0 AND strict)) / nullif(count(*) FILTER (n > 1), 0), 6) AS rank_one_tied_rate, sum(con)::bigint AS concordant, sum(dis)::bigint AS discordant, sum(tie)::bigint AS tied, round(sum(con) / nullif(sum(con + dis), 0), 6) AS pair_accuracy, round(sum(tie) / nullif(sum(con + dis + tie), 0), 6) AS tie_rate, round(coalesce(avg((x - y) * 100), 0), 6) AS mean_one_minus_two_pp,
+    """
+    + ", ".join(f"count({c}) AS rank_{i}, round(count({c}) / count(*), 6) AS rank_{i}_coverage, round(count(*) FILTER ({c} > b) / count({c}), 6) AS rank_{i}_beating_rate, round(avg(({c} - b) * 100), 6) AS rank_{i}_mean_lift_pp" for i, c in enumerate("xyz", 1))
+    + " FROM q",
+)
 def rank_quality(spark, sf_dir):
-    w = wide_source(spark, sf_dir).withColumn("rank", (F.col("row_id") % 3 + 1).cast("int")).withColumnRenamed("srch_destination_id", "scenario")
+    w = wide_source(spark, sf_dir).withColumn("rank", (F.col("user_id") % 3 + 1).cast("int")).withColumnRenamed("srch_destination_id", "scenario")
     rate = F.count_if(F.col("is_booking") == 1) / F.count(F.lit(1))
     outcomes = w.groupBy("scenario", "rank").agg(rate.alias("actual")).join(w.groupBy("scenario").agg(rate.alias("baseline")), "scenario")
     found = backtest.rank_quality(outcomes, "scenario")
-    return found.withColumn("mean_lift_pp", F.round("mean_lift_pp", 6))
+    return found.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes))

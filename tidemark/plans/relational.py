@@ -379,11 +379,32 @@ def score_pass_rate(spark, sf_dir):
     return vector_search.pass_rate(e, q, 0.05, "vec_id", "probe", 200)
 
 
-@query("recall_audit", f"SELECT count(*) AS audited, count(*) FILTER (label = 0) AS missed, round(1 - count(*) FILTER (label = 0) / count(*), 6) AS recall, round(1 - least((m / n + z * z / (2 * n) + z * sqrt(m / n * (1 - m / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 1.0), 6) AS recall_lower FROM (SELECT *, count(*) OVER () AS n, count(*) FILTER (label = 0) OVER () AS m, 1.6448536269514722::double AS z FROM (SELECT * FROM embeddings WHERE {_SCORE} >= 0.0 ORDER BY md5(vec_id || 'audit'), vec_id LIMIT 100)) GROUP BY n, m, z")
+@query(
+    "recall_audit",
+    f"""WITH w AS (SELECT count(*) FILTER (label <> 0 AND {_SCORE} >= 0.0) AS g, count(*) FILTER (label = 0) AS s FROM embeddings),
+  a AS (SELECT count(*) AS n, count(*) FILTER ({_SCORE} >= 0.0) AS m, 1.959963984540054::double AS z FROM (SELECT * FROM embeddings WHERE label = 0 ORDER BY md5(vec_id || 'audit'), vec_id LIMIT 100)),
+  u AS (SELECT *, least((m / n + z * z / (2 * n) + z * sqrt(m / n * (1 - m / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 1.0) AS up FROM a, w)
+  SELECT g AS retrieved_positive, s AS population, n AS audited, m AS missed, round(g / (g + m / n * s), 6) AS estimated_recall, round(g / (g + up * s), 6) AS recall_lower_bound, g / (g + up * s) >= 0.95 AS accepted FROM u""",
+)
 def recall_audit(spark, sf_dir):
     e, q = _vectors(spark, sf_dir)
-    exact = vector_search.above(e, q, 0.0)
-    return vector_search.recall_audit(exact, e.where("label <> 0"), "vec_id", "audit", 100)
+    found = vector_search.recall_audit(e, q, 0.0, e.where("label <> 0"), "vec_id", "audit", 100)
+    return found.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes))
+
+
+@query("value_lists_if", "SELECT o_custkey, list_sort(list(o_orderkey) FILTER (o_orderstatus = 'F')) AS filled, coalesce(len(list(o_orderkey) FILTER (o_orderstatus = 'F')), 0)::int AS n_filled FROM orders GROUP BY o_custkey HAVING n_filled > 0")
+def value_lists_if(spark, sf_dir):
+    """The values of the rows that meet a condition, as a sorted list."""
+    filled = F.sort_array(F.collect_list(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(filled.alias("filled")).select("o_custkey", "filled", F.size("filled").alias("n_filled")).where("n_filled > 0")
+
+
+@query("positives_of_candidates", "SELECT c_mktsegment AS candidate, count(*) AS members, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')) AS positives FROM customer GROUP BY c_mktsegment")
+def positives_of_candidates(spark, sf_dir):
+    """Per candidate, its members and how many of them are positive."""
+    members = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("candidate"), F.col("c_custkey").alias("user_id"))
+    positives = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("user_id"))
+    return ranking.overlap_counts(members, positives, "candidate", "user_id")
 
 
 def _segments(spark, sf_dir):
