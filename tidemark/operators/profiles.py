@@ -143,6 +143,38 @@ def candidate_sizes(profiles: DataFrame, conditions: dict[str, Column], success:
     return counts.select(F.explode(F.array(*(f"_{i}" for i in range(len(conditions))))).alias("r")).select("r.*")
 
 
+# The event count whose lift speaks for each type, and the reliability from which a candidate is a main one.
+LIFT_METRIC = {"intent_matched": "hotel_detail_view", "funnel_recovery": "booking_start", "promotion_responsive": "promotion_click", "target_destination_affinity": "destination_match", "general_destination_explorer": "hotel_search", "benefit_value_seeker": "benefit"}
+PRIMARY_RELIABILITY = 0.75
+
+
+def lift_metric(kind: str) -> Column:
+    key = LIFT_METRIC.get(kind, "hotel_search")
+    return n("deal_event") + n("free_cancellation") + n("breakfast_included") + n("price_event") if key == "benefit" else n(key)
+
+
+def score_candidates(profiles: DataFrame, conditions: dict[str, Column], success: Column, minimum: int, destination_required: bool = False) -> DataFrame:
+    """name, users, the parts of the score, score and tier of every candidate type, from one pass over the profiles.
+
+    Distinctiveness is that of a candidate on its own, 1.
+    """
+    total, won = F.count(F.lit(1)), F.count_if(success)
+    own = lambda k, c: F.struct(F.lit(k).alias("name"), F.count_if(c).alias("users"), F.count_if(c & success).alias("successes"), F.sum(F.when(c, lift_metric(k))).alias("metric"), F.avg(lift_metric(k)).alias("everyone"), total.alias("total"), (won / total).alias("rate"))
+    rows = profiles.agg(*(own(k, c).alias(f"_{i}") for i, (k, c) in enumerate(conditions.items())))
+    rows = rows.select(F.explode(F.array(*(f"_{i}" for i in range(len(conditions))))).alias("r")).select("r.*")
+    users = F.col("users")
+    parts = {
+        "promotion_condition_match": F.coalesce(users / F.nullif("total", F.lit(0)), F.lit(0.0)),
+        "expected_goal_performance": smoothed_rate(F.col("successes"), users, F.coalesce("rate", F.lit(0.0))),
+        "behavior_lift_vs_baseline": lift(F.coalesce("metric", F.lit(0)) / F.greatest(users, F.lit(1)), F.coalesce("everyone", F.lit(0.0))),
+        "sample_reliability": reliability(users, minimum),
+        "rank_distinctiveness": F.lit(1.0),
+    }
+    rows = rows.select("name", "users", *(c.alias(k) for k, c in parts.items()))
+    score = final_score({k: F.col(k) for k in parts}, destination_required)
+    return rows.withColumn("score", score).withColumn("tier", F.when(F.col("sample_reliability") < PRIMARY_RELIABILITY, "small_high_intent").otherwise("primary"))
+
+
 def pick_portfolio(scores: list[tuple[str, int, float]], overlap: dict[tuple[str, str], float], most: int = 3, limit: float = 0.70) -> list[str]:
     """Greedy choice by tier, score and name of candidates that overlap with none chosen before by ``limit`` or more."""
     chosen: list[str] = []

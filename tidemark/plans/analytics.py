@@ -192,14 +192,21 @@ def smoothed_rate(spark, sf_dir):
     return groups.join(F.broadcast(base)).select("g", F.round(profiles.smoothed_rate(F.col("s"), F.col("size"), F.col("b")), 6).alias("rate"))
 
 
-@query("candidate_scores", with_raw(f"SELECT name, round(0.15 * users / total + 0.70 * successes / greatest(users, 1) + 0.06 * least(users / 90.0, 1.0), 6) AS score FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS name, count(*) FILTER ({c}) AS users, count(*) AS total, count(*) FILTER (({c}) AND booking_complete_count > 1) AS successes FROM ({_PROFILE})" for k, c in _CANDIDATE.items()) + ")"))
+_METRIC = {k: "deal_event_count + free_cancellation_count + breakfast_included_count + price_event_count" if v == "benefit" else f"{v}_count" for k, v in profiles.LIFT_METRIC.items()}
+
+
+@query(
+    "candidate_scores",
+    with_raw(
+        "SELECT name, users, round(0.15 * m + 0.70 * e + 0.06 * l + 0.06 * r + 0.03, 6) AS score, round(l, 6) AS behavior_lift_vs_baseline, round(e, 6) AS expected_goal_performance, CASE WHEN r < 0.75 THEN 'small_high_intent' ELSE 'primary' END AS tier FROM (SELECT name, users, users / total AS m, CASE WHEN users = 0 THEN rate ELSE (won + 0.5 + 30 * rate) / (users + 31) END AS e, CASE WHEN everyone <= 0 THEN CASE WHEN metric > 0 THEN 1.0 ELSE 0.5 END ELSE least(metric / greatest(users, 1) / (everyone * 2), 1.0) END AS l, least(users / 90.0, 1.0) AS r FROM ("
+        + " UNION ALL ".join(f"SELECT '{k}' AS name, count(*) FILTER ({c}) AS users, count(*) AS total, count(*) FILTER (({c}) AND booking_complete_count > 1) AS won, count(*) FILTER (booking_complete_count > 1) / count(*) AS rate, coalesce(sum({_METRIC[k]}) FILTER ({c}), 0) AS metric, avg({_METRIC[k]}) AS everyone FROM ({_PROFILE})" for k, c in _CANDIDATE.items())
+        + "))"
+    ),
+)
 def candidate_scores(spark, sf_dir):
-    p = user_profiles(spark, sf_dir)
-    sizes = profiles.candidate_sizes(p, {k: profiles.candidate(k, True, True) for k in profiles.CANDIDATES}, profiles.n("booking_complete") > 1)
-    j = sizes.join(F.broadcast(p.agg(F.count(F.lit(1)).alias("total"))))
-    users = F.col("users")
-    score = profiles.final_score({"promotion_condition_match": users / F.col("total"), "expected_goal_performance": F.col("successes") / F.greatest(users, F.lit(1)), "behavior_lift_vs_baseline": F.lit(0.0), "sample_reliability": profiles.reliability(users, 30), "rank_distinctiveness": F.lit(0.0)})
-    return j.select("name", F.round(score, 6).alias("score"))
+    conditions = {k: profiles.candidate(k, True, True) for k in profiles.CANDIDATES}
+    found = profiles.score_candidates(user_profiles(spark, sf_dir), conditions, profiles.n("booking_complete") > 1, 30)
+    return found.select("name", "users", *(F.round(c, 6).alias(c) for c in ("score", "behavior_lift_vs_baseline", "expected_goal_performance")), "tier")
 
 
 @query("marketing_profiles", "SELECT c_mktsegment, count(*) AS event_count, count(*) FILTER (o_orderstatus = 'F') AS booking_count, round(avg(o_totalprice), 4) AS avg_price FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
