@@ -337,7 +337,7 @@ def id_ranges(rows: DataFrame, chunk_bytes: int) -> tuple[np.ndarray, np.ndarray
             for i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held, last = held + n, i
                 if held >= chunk_bytes:
-                    out.append((i, held // chunk_bytes))
+                    out.append((i, (held + chunk_bytes // 2) // chunk_bytes))
                     held, last = 0, None
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], ["id", "n"])
         if last is not None:
