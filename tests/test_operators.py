@@ -254,19 +254,10 @@ def test_statuses(spark):
     assert {r["run"]: r["run_status"] for r in evaluation.run_status(runs, "run").collect()} == {"m": "partial_goal_met", "n": "goal_not_met", "i": "insufficient_data", "g": "goal_met", "p": "partial_goal_met"}
 
 
-def test_beam_and_portfolio(spark):
-    rows = spark.createDataFrame([(i, i % 2, i % 3, i % 5) for i in range(60)], "id long, a long, b long, w long")
-    found = profiles.beam_search(rows, {"a": F.col("a") == 0, "b": F.col("b") == 0, "a2": F.col("a") == 0}, F.col("b") == 0, 5, depth=2)
-    assert ("b",) in found and len(found) <= 3 and not {("a",), ("a2",)} <= set(found)
+def test_portfolio_takes_no_overlapping_candidate():
     assert profiles.pick_portfolio([("x", 1, 0.9), ("y", 1, 0.8), ("z", 2, 0.99)], {("x", "y"): 0.9}) == ["x", "z"]
 
 
-def test_relaxation_gives_up_demographics_before_the_season(spark):
-    rows = spark.createDataFrame([(i, i % 2, i % 3) for i in range(12)], "id long, d long, s long")
-    lit, d, season = F.lit(True), F.col("d") == 0, F.col("s") == 0
-    assert [profiles.relaxed(rows, lit, d, season, least)[1] for least in (2, 4, 5, 99)] == [(), ("demographics",), ("demographics", "season"), ("demographics", "season")]
-
-
 def test_written_lists(spark):
     assert text.list_values(" Seoul，busan/제주 또는 SEOUL·차이나타운") == ["busan", "seoul", "제주", "차이나타운"]
     assert text.search_terms("제주, 서울") == ["jeju", "seoul", "서울", "제주"] and text.search_terms("Paris") == ["paris"] and text.search_terms("A또는B") == ["a또는b"]

@@ -184,48 +184,6 @@ def pick_portfolio(scores: list[tuple[str, int, float]], overlap: dict[tuple[str
     return chosen
 
 
-def beam_search(profiles: DataFrame, predicates: dict[str, Column], success: Column, minimum: int, width: int = 8, depth: int = 1, most: int = 50, final: int = 3, similarity: float = 0.85) -> list[tuple[str, ...]]:
-    """The best conjunctions of predicates that enough users meet, none too like another.
-
-    Every level is one aggregation over the profiles for all its candidates,
-    sizes, successes and overlaps; the driver sees counts.
-    """
-    level: list[tuple[str, ...]] = [(k,) for k in sorted(predicates)][:most]
-    scored: dict[tuple[str, ...], float] = {}
-    condition = lambda names: reduce(lambda a, b: a & b, (predicates[k] for k in names))
-    for step in range(depth):
-        rows = candidate_sizes(profiles, {"&".join(names): condition(names) for names in level}, success).collect()
-        scored |= {tuple(r["name"].split("&")): (r["successes"] + 0.5) / (r["users"] + 1.0) for r in rows if r["users"] >= minimum}
-        best = sorted(scored, key=lambda c: (-scored[c], c))[:width]
-        level = sorted({tuple(sorted({*c, k})) for c in best for k in predicates if k not in c})[:most] if step + 1 < depth else []
-        if not level:
-            break
-    best = sorted(scored, key=lambda c: (-scored[c], c))[:width]
-    pairs = [(a, b) for i, a in enumerate(best) for b in best[i + 1 :]]
-    shared = {}
-    if pairs:
-        both = {f"{i}": condition(a) & condition(b) for i, (a, b) in enumerate(pairs)}
-        either = {f"{i}": condition(a) | condition(b) for i, (a, b) in enumerate(pairs)}
-        inter = {r["name"]: r["users"] for r in candidate_sizes(profiles, both, success).collect()}
-        union = {r["name"]: r["users"] for r in candidate_sizes(profiles, either, success).collect()}
-        shared = {p: inter[f"{i}"] / union[f"{i}"] if union[f"{i}"] else 0.0 for i, p in enumerate(pairs)}
-    chosen: list[tuple[str, ...]] = []
-    for c in best:
-        if len(chosen) < final and all(shared.get((c, o), shared.get((o, c), 0.0)) < similarity for o in chosen):
-            chosen.append(c)
-    return chosen
-
-
-def relaxed(profiles: DataFrame, required: Column, demographics: Column, season: Column, minimum: int) -> tuple[Column, tuple[str, ...]]:
-    """The strictest condition that enough users meet, and what was given up for it: demographics first, then the season.
-
-    All three sizes come from one aggregation.
-    """
-    steps = [(required & demographics & season, ()), (required & season, ("demographics",)), (required, ("demographics", "season"))]
-    sizes = profiles.agg(*(F.count_if(c).alias(f"_{i}") for i, (c, _) in enumerate(steps))).first()
-    return next((s for i, s in enumerate(steps) if sizes[f"_{i}"] >= minimum), steps[-1])
-
-
 def ratio_evaluation(users: DataFrame, group: str, score: str, outcome: str, tie: str, ratios: Sequence[float]) -> DataFrame:
     """For each ratio: users in the top share of their group, their outcome rate, and its lift over everyone's."""
     ranked = group_rank(users, [group], [F.desc(score), F.col(tie)])

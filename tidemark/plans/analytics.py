@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_bucket
 from ..functions.safe import ratio6
-from ..operators import backtest, evaluation, features, profiles, ranking, uplift
+from ..operators import backtest, beam, evaluation, features, profiles, ranking, uplift
 from ..operators.predicates import is_event
 from ..sources.event_log import raw_events, typed
 from .audience import END, scoped, with_raw
@@ -184,6 +184,36 @@ def beam_candidates(spark, sf_dir):
     return profiles.candidate_sizes(user_profiles(spark, sf_dir), conditions, profiles.n("booking_complete") > 1)
 
 
+_SHOWN_BY = {"destination_repeat_search": "destination_match_count", "hotel_detail_view": "hotel_detail_view_count", "booking_start": "booking_start_count", "booking_start_without_complete": "booking_start_count", "price_compare": "price_event_count", "discount_interest": "deal_search_count", "free_cancellation_interest": "fc_search_count", "breakfast_interest": "breakfast_included_count", "promotion_click": "promotion_click_count", "campaign_landing": "campaign_landing_count"}
+_BEAM = " UNION ALL ".join(
+    f"SELECT 'beam_{k}_{least}' AS name, {beam.INTENT[dim] + (0.05 if k == beam.UNFINISHED else 0)} AS intent, {0.8 if dim in beam.ALIGNED else 0.7} AS aligned, count(*) AS users, avg((hotel_detail_view_count > 0)::int) AS d, avg((booking_start_count > 0)::int) AS s, avg((booking_complete_count > 0)::int) AS c FROM p WHERE promotion_condition_search_count > 0 AND {_SHOWN_BY[k]} >= {least}" + (" AND booking_complete_count = 0" if k == beam.UNFINISHED else "")
+    for k, (dim, _, options) in beam.BEHAVIOURS.items()
+    for least in options
+)
+
+
+@query(
+    "beam_scored",
+    with_raw(
+        f"SELECT name, users, round(0.22 * aligned + 0.18 * least(intent, 1.0) + 0.14 * least(users / 15.0, 1.0) + 0.24 * (0.35 * d + 0.45 * s + 0.2 * c) + 0.1 * sqrt(users / total) + 0.12 * (1 - users / total) - 0.15 * greatest((10 - users) / 10.0, 0.0), 6) AS score FROM (WITH p AS (SELECT q.*, f.fc_search_count FROM ({_PROFILE}) q JOIN (SELECT user_id, count(*) FILTER (event_name = 'hotel_search' AND free_cancellation = 1) AS fc_search_count FROM w GROUP BY user_id) f USING (user_id)) SELECT *, (SELECT count(*) FROM p) AS total FROM ({_BEAM})) WHERE users > 0"
+    ),
+)
+def beam_scored(spark, sf_dir):
+    """All first-level audiences of a promotion with a destination and a season, scored."""
+    p = user_profiles(spark, sf_dir)
+    base = beam.anchor(p, beam.Demand(destination=True, season=True), 1)
+    level = [((k, least),) for k, (_, _, options) in beam.BEHAVIOURS.items() for least in options]
+    found = [(c.name, c.users, round(c.score, 6)) for c in (beam.scored(p, base, level, (), 5) if base else []) if c.users]
+    return spark.createDataFrame(found, "name string, users long, score double")
+
+
+@query("beam_audiences")
+def beam_audiences(spark, sf_dir):
+    """The audiences that the whole search selects."""
+    found = beam.search(user_profiles(spark, sf_dir), beam.Demand(destination=True, season=True), 5)
+    return spark.createDataFrame([(c.name, c.users, round(c.score, 6)) for c in found.selected], "name string, users long, score double")
+
+
 @query("smoothed_rate", with_raw(f"SELECT g, round((s + 0.5 + 30 * b) / (n + 31), 6) AS rate FROM (SELECT hotel_search_count % 4 AS g, count(*) AS n, count(*) FILTER (booking_complete_count > 5) AS s FROM ({_PROFILE}) GROUP BY g), (SELECT avg((booking_complete_count > 5)::int) AS b FROM ({_PROFILE}))"))
 def smoothed_rate(spark, sf_dir):
     p = user_profiles(spark, sf_dir).select((profiles.n("hotel_search") % 4).alias("g"), (profiles.n("booking_complete") > 5).alias("won"))
