@@ -43,3 +43,13 @@ def transition(ledger: DataFrame, keys: Sequence[str], requests: DataFrame, allo
     for target, sources in allowed.items():
         ok = ok | ((F.col("wanted") == target) & F.col("l.state").isin(*sources))
     return joined.where(ok).select(*keys, F.col("wanted").alias("state"), (F.col("l.revision") + 1).alias("revision"))
+
+
+def append_arrays(batches: DataFrame, arrays: Sequence[str], position: str = "position") -> DataFrame:
+    """One row for each place of the parallel arrays of a batch, with the batch's other columns and the place (from 1).
+
+    A batch whose arrays are empty or null gives none; arrays of unequal lengths are filled with nulls.
+    """
+    rest = [c for c in batches.columns if c not in arrays]
+    zipped = F.posexplode(F.arrays_zip(*(F.coalesce(F.col(a), F.array()).alias(a) for a in arrays)))
+    return batches.select(*rest, zipped.alias("_at", "_row")).select(*rest, (F.col("_at") + 1).cast("long").alias(position), *(F.col(f"_row.{a}").alias(a) for a in arrays))

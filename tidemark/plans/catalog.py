@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, audience, relational
+from . import analytics, audience, decisions, relational
 
-_PLANS = (audience, relational, analytics)
+_PLANS = (audience, relational, analytics, decisions)
 
 QUERIES: dict = {}
 ORACLES: dict = {}

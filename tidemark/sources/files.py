@@ -92,6 +92,16 @@ class Generations:
         rows.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path).count()
 
+    def resume(self, generation: str, rows: DataFrame, key: Sequence[str]) -> int:
+        """Adds the rows whose key the generation lacks, after a write that was broken off; an active one can't be changed."""
+        if generation == self.active():
+            raise ValueError(f"generation {generation} is active")
+        fs, path = self._fs(f"{self.root}/generation={generation}")
+        if not fs.exists(path):
+            return self.write(generation, rows)
+        rows.join(self.read(generation).select(*key), list(key), "left_anti").select(*rows.columns).write.mode("append").parquet(path.toString())
+        return self.read(generation).count()
+
     def activate(self, generation: str, expected: int) -> None:
         found = self.read(generation).count()
         if found != expected:
