@@ -12,6 +12,7 @@ from ..functions.safe import float_or_null, ratio6
 from ..sources.event_log import instant
 from .intervals import days_before, until
 from .predicates import is_event
+from .ranking import lower_median, pinned
 
 EPOCH = "1970-01-01"
 HIGH_PRICE = 200_000.0
@@ -88,8 +89,9 @@ def booking_intent_cohorts(touches: DataFrame, events: DataFrame, bookings: Data
     abandoned, completed = (start != no_event()) & (done == no_event()), done != no_event()
     high = F.coalesce(F.col("nightly") > HIGH_PRICE, F.lit(False))
     u = u.withColumn("_abandoned", abandoned).withColumn("_completed", completed)
-    lower = lambda c, flag: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN {flag} THEN {c} END)")
-    return u.groupBy("ad_experiment_id").agg(
+    # read twice, and as wide as a few numbers for each user
+    u = pinned(u.select("ad_experiment_id", "views", "start_at", "complete_at", "nightly", "_abandoned", "_completed", F.col("revenue").cast("double").alias("revenue")))
+    counts = u.groupBy("ad_experiment_id").agg(
         F.count_if(repeat).alias("repeat_view_user_count"),
         F.count_if(repeat & booked).alias("repeat_view_booking_count"),
         F.count_if(~repeat).alias("comparison_user_count"),
@@ -99,11 +101,13 @@ def booking_intent_cohorts(touches: DataFrame, events: DataFrame, bookings: Data
         F.count_if((start != no_event()) & high).alias("high_price_booking_start_user_count"),
         F.count_if(abandoned & high).alias("high_price_booking_abandon_user_count"),
         F.count_if(completed & high).alias("high_price_booking_complete_user_count"),
-        lower("revenue", "_abandoned").alias("booking_abandon_median_revenue"),
-        lower("revenue", "_completed").alias("booking_complete_median_revenue"),
-        lower("nightly", "_abandoned").alias("booking_abandon_median_nightly_price"),
-        lower("nightly", "_completed").alias("booking_complete_median_nightly_price"),
     )
+    arms, prices = {"abandon": "_abandoned", "complete": "_completed"}, {"revenue": "revenue", "nightly_price": "nightly"}
+    wanted = {f"booking_{k}_median_{n}": (flag, c) for n, c in prices.items() for k, flag in arms.items()}
+    values = F.array(*(F.struct(F.lit(name).alias("figure"), F.when(F.col(flag), F.col(c)).alias("value")) for name, (flag, c) in wanted.items()))
+    medians = lower_median(u.select("ad_experiment_id", F.inline(values)), ["ad_experiment_id", "figure"], "value")
+    wide = medians.groupBy("ad_experiment_id").agg(*(F.max(F.when(F.col("figure") == name, F.col("median"))).alias(name) for name in wanted))
+    return counts.join(wide, "ad_experiment_id", "left")
 
 
 def dropoff(stages: DataFrame, group: str, order: str, users: str) -> DataFrame:

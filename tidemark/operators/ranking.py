@@ -59,10 +59,20 @@ def group_rank(rows: DataFrame, group: Sequence[str], order: Sequence[Column]) -
 
 
 def lower_median(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """The group and the lower of the two middle values; equal values are counted first, so a window sees distinct ones."""
+    """The group and the lower of the two middle values, nulls left out, without a task for each group.
+
+    Equal values are counted first; running counts go over range partitions and
+    are shifted as in ``group_rank``.
+    """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = counts.withColumn("_seen", F.sum("_n").over(Window.partitionBy(*group).orderBy(value))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*group)))
-    return ranked.where("2 * _seen >= _all").groupBy(*group).agg(F.min(value).alias("median"))
+    parted = _parted(counts.withColumn("_group", F.struct(*group)), [F.col("_group"), F.col(value)])
+    local = parted.withColumn("_local", F.sum("_n").over(Window.partitionBy("_part", "_group").orderBy(value)))
+    sizes = parted.groupBy("_group", "_part").agg(F.sum("_n").alias("_size"))
+    w = Window.partitionBy("_group")
+    before = F.coalesce(F.sum("_size").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_group", "_part", before.alias("_before"), F.sum("_size").over(w).alias("_all"))
+    upper = local.join(offsets, ["_group", "_part"]).where("2 * (_local + _before) >= _all")
+    return upper.groupBy(*group).agg(F.min(value).alias("median"))
 
 
 def salted_order(key: Column, salt: str) -> Column:
