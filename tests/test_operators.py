@@ -113,9 +113,22 @@ def test_property_filters(spark):
 
 
 def test_canonical_conditions():
-    a = [{"key": "Price", "value": "10.0"}, {"value": "TRUE", "key": "deal"}]
-    b = [{"key": "deal", "value": "1"}, {"key": "price", "value": "10"}, {"key": "price", "value": "10"}]
-    assert predicates.canonical_conditions(a) == predicates.canonical_conditions(b)
+    one_of = lambda **k: {"event_name": "hotel_search", "property_key": "price", "operator": "gte", "value": "10", **k}
+    same, refused = predicates.canonical_conditions([one_of(value="10.0"), one_of(), one_of(value=" 1E+1 ")])
+    assert [(c.key, c.operator, c.value, c.minimum) for c in same] == [("price", "gte", "10", 1)] and refused == []
+    spelt = [one_of(property_key="free_cancellation", operator="equals", value="예"), one_of(property_key="age_group", operator="in", value="30s/20대"), one_of(property_key="gender", operator="in", value="여성, f"), one_of(property_key="deal", operator="exists", value=None)]
+    assert {c.key: c.value for c in predicates.canonical_conditions(spelt)[0]} == {"free_cancellation": "true", "age_group": "20,20-29,20대,20s,30,30-39,30대,30s", "gender": "f,female,여,여성", "deal": "true"}
+    wrong = [one_of(event_name=""), one_of(property_key="x"), one_of(operator="like"), one_of(minimum_count=0), one_of(value="many"), 7]
+    assert predicates.canonical_conditions(wrong) == ([], [f"property_condition:{w}" for w in ("unsupported_event:missing", "unsupported_property:x", "unsupported_operator:like", "invalid_minimum_count", "invalid_numeric_value:price", "invalid_item")])
+    assert predicates.canonical_conditions(None) == ([], []) and predicates.canonical_conditions("x") == ([], ["property_condition:invalid_array"])
+    assert len(predicates.canonical_conditions([one_of(value=str(i)) for i in range(9)])[0]) == predicates.MOST_CONDITIONS
+
+
+def test_canonical_condition_counts_events(spark):
+    ev = events(spark, [("hotel_search", "a", 21, {"gender": "여"}, True), ("hotel_search", "a", 22, {"gender": "F"}, True), ("hotel_search", "b", 22, {"gender": "m"}, True)])
+    (found,), _ = predicates.canonical_conditions([{"event_name": "hotel_search", "property_key": "gender", "operator": "in", "value": "female", "minimum_count": 2}])
+    got = predicates.condition_match_counts(ev, [found.condition()]).collect()
+    assert {r["user_id"]: r["matches"] for r in got} == {"a": 1, "b": 0}
 
 
 def test_vector_v2_of_one_user(spark):

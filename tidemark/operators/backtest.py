@@ -37,6 +37,62 @@ def derived(rows: DataFrame) -> DataFrame:
     return rows.withColumn("room_type", room).withColumn("preferred_category", category).withColumn("deal", deal).withColumn("free_cancellation", F.when((window >= 14) | package, "1").otherwise("0")).withColumn("breakfast_included", F.when(package & (nights >= 2), "1").otherwise("0")).withColumn("estimated_price", F.greatest(F.lit(45000), price).cast("long"))
 
 
+def _some_values(c: Column, most: int) -> Column:
+    return F.slice(F.sort_array(F.collect_set(c)), 1, most)
+
+
+def observed_profiles(rows: DataFrame, start: str, cutoff: str, target: int, months: Sequence[int] = ()) -> DataFrame:
+    """A profile of each user from the search rows in [start, cutoff), as the events they explode to would give it.
+
+    Columns are those that candidates are tested on; what a search log can't
+    show is 0, null or an empty list, and of value lists the smallest are kept.
+    """
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    seen = rows.where((F.col("date_time") >= at(start)) & (F.col("date_time") < at(cutoff)))
+    booked = F.col("is_booking") == 1
+    clicked, started = (F.col("cnt") >= 2) | booked, booked | (F.col("cnt") >= 4)
+    kind = F.when(F.col("srch_children_cnt") > 0, "family_travel").when(F.col("is_package") == 1, "package_travel").when(F.col("srch_adults_cnt") == 1, "business_or_solo_travel").otherwise("leisure_travel")
+    n, clicks, starts, done = F.count(F.lit(1)), F.count_if(clicked), F.count_if(started), F.count_if(booked)
+    text = lambda c: F.col(c).cast("string")
+    none, empty = ("promotion_impression", "promotion_click", "campaign_redirect_click", "campaign_landing", "booking_cancel", "free_cancellation", "breakfast_included", "price_event"), ("age_group_values", "gender_values")
+    return (
+        seen.groupBy("user_id")
+        .agg(
+            (n * 3 + clicks + starts + done).alias("event_count"),
+            n.alias("hotel_search_count"),
+            clicks.alias("hotel_click_count"),
+            n.alias("hotel_detail_view_count"),
+            starts.alias("booking_start_count"),
+            done.alias("booking_complete_count"),
+            F.count_if(F.col("is_package") == 1).alias("deal_event_count"),
+            _some_values(text("srch_destination_id"), 20).alias("destination_values"),
+            _some_values(F.coalesce(text("srch_ci"), F.lit("")), 20).alias("checkin_dates"),
+            _some_values(text("hotel_market"), 20).alias("hotel_market_values"),
+            _some_values(text("hotel_cluster"), 20).alias("hotel_cluster_values"),
+            _some_values(kind, 10).alias("preferred_category_values"),
+            F.count_if(F.col("srch_destination_id") == target).alias("destination_match_count"),
+            F.count_if(F.month("srch_ci").isin(*months) if months else F.lit(False)).alias("season_match_count"),
+        )
+        .select("*", *(F.lit(0).cast("long").alias(f"{c}_count") for c in none), F.lit(None).cast("double").alias("avg_price"), *(F.array().cast("array<string>").alias(c) for c in empty))
+    )
+
+
+def temporal_backtest(rows: DataFrame, conditions: dict[str, Column], start: str, cutoff: str, end: str, target: int, months: Sequence[int] = ()) -> DataFrame:
+    """For each candidate its users before the cutoff and those who booked the target in [cutoff, end), beside everyone's.
+
+    name, users, booked, actual, everyone, baseline and lift_pp; all candidates come from one pass over the profiles.
+    """
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    later = future_outcome(rows.where((F.col("date_time") >= at(cutoff)) & (F.col("date_time") < at(end))), target, months).where("contextual_booking")
+    known = observed_profiles(rows, start, cutoff, target, months).join(later, "user_id", "left")
+    won = F.coalesce("contextual_booking", F.lit(False))
+    everyone = (F.count(F.lit(1)).alias("everyone"), F.count_if(won).alias("won"))
+    sums = known.agg(*everyone, *(F.struct(F.lit(k).alias("name"), F.count_if(c).alias("users"), F.count_if(c & won).alias("booked")).alias(f"_{i}") for i, (k, c) in enumerate(conditions.items())))
+    found = sums.select("everyone", "won", F.inline(F.array(*(f"_{i}" for i in range(len(conditions))))))
+    actual, baseline = F.col("booked") / F.nullif("users", F.lit(0)), F.col("won") / F.nullif("everyone", F.lit(0))
+    return found.select("name", "users", "booked", actual.alias("actual"), "everyone", baseline.alias("baseline"), ((actual - baseline) * 100).alias("lift_pp"))
+
+
 def scenarios(rows: DataFrame, minimum_users: int, most: int, excluded: Sequence[int] = ()) -> DataFrame:
     """Destinations with enough users, most users first."""
     own = rows.where(F.col("srch_destination_id") > 0)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal, InvalidOperation
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -161,19 +163,107 @@ def profile_array_match(values: Column, terms: Sequence[str]) -> Column:
     return F.exists(values, lambda v: contains_any(v, terms))
 
 
-def canonical_conditions(conditions: Sequence[Mapping[str, str]]) -> list[tuple[tuple[str, str], ...]]:
-    """Conditions in one order and spelling without repeats, so that equal ones compare and hash alike.
+# What a condition on a property may name, and the spellings of its values.
+CONDITION_EVENTS = ("page_view", "hotel_search", "hotel_click", "hotel_detail_view", "promotion_impression", "promotion_click", "campaign_redirect_click", "campaign_landing", "booking_start", "booking_complete", "booking_cancel")
+CONDITION_KEYS = (
+    "deal", "free_cancellation", "breakfast_included", "age_group", "gender", "region", "preferred_category", "user_segment", "adult_count", "child_count", "rooms", "hotel_id", "hotel_name", "hotel_city", "hotel_country",
+    "hotel_market", "hotel_cluster", "hotel_star_rating", "hotel_guest_rating", "price", "property_type", "room_type", "revenue",
+)
+CONDITION_OPERATORS = ("equals", "in", "contains", "exists", "gte", "lte")
+TRUE_WORDS, FALSE_WORDS = ("1", "true", "yes", "y", "예", "있음"), ("0", "false", "no", "n", "아니오", "없음")
+TWENTIES, THIRTIES = ("20", "20-29", "20대", "20s"), ("30", "30-39", "30대", "30s")
+GENDERS = (("m", "male", "남", "남성"), ("f", "female", "여", "여성"))
+MOST_CONDITIONS, MOST_REPEATS = 6, 100
 
-    Booleans become 1 and 0 and numbers lose what doesn't change them.
-    """
 
-    def normal(value: str) -> str:
-        value = str(value).strip().lower()
-        if value in ("true", "false"):
-            return "1" if value == "true" else "0"
-        try:
-            return f"{float(value):g}"
-        except ValueError:
-            return value
+@dataclass(frozen=True, order=True)
+class PropertyCondition:
+    """At least ``minimum`` events of a kind with a property."""
+
+    event: str
+    key: str
+    operator: str
+    value: str
+    minimum: int = 1
+
+    def condition(self) -> Condition:
+        return Condition(self.event, self.minimum, properties=(PropertyFilter(self.key, self.operator, self.value),))
+
+
+def _number(value: str) -> str:
+    try:
+        return format(Decimal(value).normalize(), "f")
+    except InvalidOperation:
+        raise ValueError("invalid_numeric_value") from None
+
+
+def _truth(value: str) -> str:
+    for word, spellings in (("true", TRUE_WORDS), ("false", FALSE_WORDS)):
+        if value in spellings:
+            return word
+    raise ValueError("invalid_boolean_value")
 
-    return sorted({tuple(sorted((str(k), normal(v)) for k, v in c.items())) for c in conditions})
+
+def _choice(value: str, groups: Sequence[Sequence[Sequence[str]]]) -> str:
+    """The listed values; a group stands whole for itself where each of its parts has a spelling among them."""
+    values = list_values(value)
+    whole = next((g for g in groups if all(set(part) & set(values) for part in g)), None)
+    return ",".join(v for part in whole for v in part) if whole else ",".join(values)
+
+
+def _spelling(key: str, operator: str) -> Callable[[str], str]:
+    """How the value of such a condition is written."""
+    if operator in ("gte", "lte"):
+        return _number
+    if key in ("free_cancellation", "breakfast_included"):
+        return _truth
+    groups = {"age_group": [[TWENTIES, THIRTIES]], "gender": [[g] for g in GENDERS]}.get(key, [])
+    return (lambda value: _choice(value, groups)) if operator == "in" else str
+
+
+def _canonical_value(key: str, operator: str, given: Any) -> str:
+    if operator == "exists":
+        return "true"
+    value = " ".join(str(given or "").split()).casefold()
+    try:
+        spelt = _spelling(key, operator)(value) if value else ""
+    except ValueError as wrong:
+        raise ValueError(f"{wrong}:{key}") from None
+    if not spelt:
+        raise ValueError(f"missing_value:{key}")
+    return spelt
+
+
+def canonical_conditions(given: Any) -> tuple[list[PropertyCondition], list[str]]:
+    """Conditions in one order and spelling without repeats, and why others aren't supported.
+
+    Of a list only the first ``MOST_CONDITIONS`` are read, as the feature allows
+    no more.  Lists of values are split and sorted, spellings of an age group or
+    gender become all of them, numbers lose what doesn't change them.
+    """
+    if given is None:
+        return [], []
+    if not isinstance(given, (list, tuple)):
+        return [], ["property_condition:invalid_array"]
+    found: set[PropertyCondition] = set()
+    refused: dict[str, None] = {}
+    for item in given[:MOST_CONDITIONS]:
+        try:
+            if not isinstance(item, Mapping):
+                raise ValueError("invalid_item")
+            names = {}
+            for what, allowed in (("event_name", CONDITION_EVENTS), ("property_key", CONDITION_KEYS), ("operator", CONDITION_OPERATORS)):
+                names[what] = str(item.get(what, "")).strip()
+                if names[what] not in allowed:
+                    raise ValueError(f"unsupported_{what.split('_')[0]}:{names[what] or 'missing'}")
+            try:
+                least = int(item.get("minimum_count", 1))
+            except (TypeError, ValueError):
+                least = 0
+            if not 1 <= least <= MOST_REPEATS:
+                raise ValueError("invalid_minimum_count")
+            key, operator = names["property_key"], names["operator"]
+            found.add(PropertyCondition(names["event_name"], key, operator, _canonical_value(key, operator, item.get("value")), least))
+        except ValueError as wrong:
+            refused[f"property_condition:{wrong}"] = None
+    return sorted(found), list(refused)

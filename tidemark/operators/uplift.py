@@ -6,6 +6,8 @@ import math
 import random
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,35 @@ def examples(units: DataFrame, outcomes: DataFrame, unit: str, user: str, start:
     return units.join(hits, unit, "left").withColumn("outcome", F.coalesce("_hit", F.lit(0))).drop("_hit")
 
 
+# What an assignment's manifest must say for its units to be trained on.
+FINAL, DESIGN = "finalized", {"$.experiment_design.mode": "randomized_holdout", "$.outcome_spec.uplift_training_eligible": "true"}
+ASSIGNMENT = ("promotion_run_id", "segment_assignment_execution_id")
+
+
+def units(units: DataFrame, assignments: DataFrame, runs: DataFrame, generations: DataFrame, snapshots: DataFrame, vectors: DataFrame, project: str, at: datetime) -> DataFrame:
+    """Experiment units of a project whose outcome window is over, with the facts of their assignment and their vector, null without one.
+
+    Keys: assignments by ``ASSIGNMENT`` with uplift_assignment_status,
+    input_manifest_json and source_cutoff_at; runs by promotion_run_id with
+    goal_snapshot_json; generations by vector_generation_id with window_end,
+    source_revision_cutoff, vector_version and manifest_hash; snapshots by
+    snapshot_id with source_cutoff; vectors by vector_generation_id and user_id
+    with embedding.  A unit without one of the first four is left out.
+    Assignments are filtered before any join, and nothing is paged.
+    """
+    fit = reduce(lambda a, b: a & b, (F.get_json_object("input_manifest_json", path) == value for path, value in DESIGN.items()), F.col("uplift_assignment_status") == FINAL)
+    own = assignments.where(fit).select(*ASSIGNMENT, F.col("source_cutoff_at").alias("execution_source_cutoff_at"), F.col("input_manifest_json").alias("execution_manifest"))
+    named = {c: f"generation_{c}" for c in ("window_end", "source_revision_cutoff", "vector_version", "manifest_hash")}
+    over = units.where((F.col("project_id") == project) & (F.col("outcome_window_end") <= F.lit(at)))
+    return (
+        over.join(own, list(ASSIGNMENT))
+        .join(runs.select("promotion_run_id", "goal_snapshot_json"), "promotion_run_id")
+        .join(generations.select("vector_generation_id", *(F.col(c).alias(n) for c, n in named.items())), "vector_generation_id")
+        .join(snapshots.select(F.col("snapshot_id").alias("audience_snapshot_id"), F.col("source_cutoff").alias("audience_source_cutoff")), "audience_snapshot_id")
+        .join(vectors.select("vector_generation_id", "user_id", F.col("embedding").alias("feature_vector")), ["vector_generation_id", "user_id"], "left")
+    )
+
+
 def ipw_rates(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Weighted outcome rates of both arms and their difference."""
     weight = F.when(F.col("treatment") == 1, 1 / F.col("probability")).otherwise(1 / (1 - F.col("probability")))

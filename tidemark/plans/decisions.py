@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import experiments, ledger, models, policies, predicates, profiles, query_vectors, uplift
+from ..operators import backtest, experiments, ledger, models, policies, predicates, profiles, query_vectors, uplift
 from ..sources import files, scratch
-from .analytics import _PROFILE, _UNITS, _units, user_profiles
+from .analytics import _PROFILE, _UNITS, _WIDE, _units, user_profiles, wide_source
 from .audience import with_raw
 
 QUERIES: dict = {}
@@ -202,3 +204,60 @@ def bootstrap_interval(spark, sf_dir):
     sums = _units(spark, sf_dir).groupBy("experiment").agg(F.sum("outcome").cast("double").alias("s"), F.count(F.lit(1)).alias("n")).orderBy("experiment")
     low, high = uplift.cluster_bootstrap([(r["s"], r["n"]) for r in sums.collect()])
     return spark.createDataFrame([(low, high)], "low double, high double")
+
+
+# Uplift units and temporal backtests
+
+_MANIFEST = """'{"experiment_design":{"mode":"' || CASE WHEN n_nationkey % 5 = 0 THEN 'all' ELSE 'randomized_holdout' END || '"},"outcome_spec":{"uplift_training_eligible":' || CASE WHEN n_nationkey % 7 = 0 THEN 'false' ELSE 'true' END || '}}'"""
+
+
+@query(
+    "uplift_units",
+    f"SELECT o_orderkey AS unit, n.n_name AS goal, r_name AS generation_vector_version, s.n_name AS audience_source_cutoff, vec_id IS NOT NULL AS has_vector FROM orders JOIN nation n ON n.n_nationkey = o_orderkey % 25 JOIN region ON r_regionkey = o_orderkey % 6 JOIN nation s ON s.n_nationkey = o_orderkey % 27 LEFT JOIN embeddings ON vec_id = o_custkey AND vec_id % 5 = r_regionkey WHERE o_orderpriority = '1-URGENT' AND o_orderdate <= TIMESTAMP '1997-01-01' AND n.n_nationkey % 4 <> 0 AND n.n_nationkey % 5 <> 0 AND n.n_nationkey % 7 <> 0",
+)
+def uplift_units(spark, sf_dir):
+    """Orders as units, nations as runs, assignments and snapshots, regions as generations."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    k, key = F.col("o_orderkey"), F.col("n_nationkey")
+    units = table(spark, sf_dir, "orders").select(
+        k.alias("unit"), F.col("o_orderpriority").alias("project_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("outcome_window_end"), F.col("o_custkey").alias("user_id"),
+        (k % 25).alias("promotion_run_id"), (k % 25).alias("segment_assignment_execution_id"), (k % 6).alias("vector_generation_id"), (k % 27).alias("audience_snapshot_id"),
+    )
+    assignments = nation.select(key.alias("promotion_run_id"), key.alias("segment_assignment_execution_id"), F.when(key % 4 == 0, "open").otherwise("finalized").alias("uplift_assignment_status"), F.lit(None).cast("timestamp_ntz").alias("source_cutoff_at"), F.expr(_MANIFEST).alias("input_manifest_json"))
+    runs = nation.select(key.alias("promotion_run_id"), F.col("n_name").alias("goal_snapshot_json"))
+    nothing = F.lit(None).cast("string")
+    generations = region.select(F.col("r_regionkey").alias("vector_generation_id"), nothing.alias("window_end"), nothing.alias("source_revision_cutoff"), F.col("r_name").alias("vector_version"), nothing.alias("manifest_hash"))
+    snapshots = nation.select(key.alias("snapshot_id"), F.col("n_name").alias("source_cutoff"))
+    vectors = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 5).alias("vector_generation_id"), F.col("vec_id").alias("user_id"), "embedding")
+    found = uplift.units(units, assignments, runs, generations, snapshots, vectors, "1-URGENT", datetime(1997, 1, 1))
+    return found.select("unit", F.col("goal_snapshot_json").alias("goal"), "generation_vector_version", "audience_source_cutoff", F.col("feature_vector").isNotNull().alias("has_vector"))
+
+
+_OBSERVED = f"""SELECT user_id, sum(3 + (cnt >= 2 OR is_booking = 1)::int + (cnt >= 4 OR is_booking = 1)::int + is_booking)::bigint AS event_count, count(*) AS hotel_search_count, count(*) FILTER (cnt >= 2 OR is_booking = 1) AS hotel_click_count, count(*) FILTER (cnt >= 4 OR is_booking = 1) AS booking_start_count,
+  count(*) FILTER (is_booking = 1) AS booking_complete_count, count(*) FILTER (is_package = 1) AS deal_event_count, list_sort(list(DISTINCT srch_destination_id::varchar))[1:20] AS destination_values,
+  list_sort(list(DISTINCT CASE WHEN srch_children_cnt > 0 THEN 'family_travel' WHEN is_package = 1 THEN 'package_travel' WHEN srch_adults_cnt = 1 THEN 'business_or_solo_travel' ELSE 'leisure_travel' END)) AS preferred_category_values,
+  count(*) FILTER (srch_destination_id = 7) AS destination_match_count, count(*) FILTER (month(srch_ci) IN (6, 7, 8)) AS season_match_count
+  FROM ({_WIDE}) WHERE date_time >= TIMESTAMP '1994-01-01' AND date_time < TIMESTAMP '1997-01-01' GROUP BY user_id"""
+
+
+def _searches(spark, sf_dir):
+    return wide_source(spark, sf_dir).withColumn("hotel_cluster", F.col("hotel_country") % 17)
+
+
+@query("observed_profiles", _OBSERVED)
+def observed_profiles(spark, sf_dir):
+    found = backtest.observed_profiles(_searches(spark, sf_dir), "1994-01-01", "1997-01-01", 7, [6, 7, 8])
+    return found.select("user_id", "event_count", "hotel_search_count", "hotel_click_count", "booking_start_count", "booking_complete_count", "deal_event_count", "destination_values", "preferred_category_values", "destination_match_count", "season_match_count")
+
+
+_LATER = f"SELECT DISTINCT user_id FROM ({_WIDE}) WHERE is_booking = 1 AND srch_destination_id = 7 AND month(srch_ci) IN (6, 7, 8) AND date_time >= TIMESTAMP '1997-01-01' AND date_time < TIMESTAMP '1999-01-01'"
+_TESTED = {"affinity": "destination_match_count >= 1", "season": "season_match_count > 0", "package": "deal_event_count >= 3"}
+
+
+@query(
+    "temporal_backtest",
+    f"WITH k AS (SELECT p.*, user_id IN ({_LATER}) AS won FROM ({_OBSERVED}) p), t AS (SELECT count(*) AS everyone, count(*) FILTER (won) AS n_won FROM k), c AS (" + " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) FILTER ({c}) AS users, count(*) FILTER (({c}) AND won) AS booked FROM k" for name, c in _TESTED.items()) + ") SELECT name, users, booked, everyone, round(booked / nullif(users, 0), 6) AS actual, round(n_won / everyone, 6) AS baseline, round((booked / nullif(users, 0) - n_won / everyone) * 100, 6) AS lift_pp FROM c, t",
+)
+def temporal_backtest(spark, sf_dir):
+    found = backtest.temporal_backtest(_searches(spark, sf_dir), {name: F.expr(c) for name, c in _TESTED.items()}, "1994-01-01", "1997-01-01", "1999-01-01", 7, [6, 7, 8])
+    return found.select("name", "users", "booked", "everyone", *(F.round(c, 6).alias(c) for c in ("actual", "baseline", "lift_pp")))
