@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import audience_search as vector_index
 from ..operators import backtest, experiments, ledger, models, policies, predicates, profiles, query_vectors, uplift
 from ..sources import files, scratch
 from .analytics import _PROFILE, _UNITS, _WIDE, _units, user_profiles, wide_source
@@ -109,6 +110,19 @@ def candidate_query_vectors(spark, sf_dir):
     return spark.createDataFrame(found, "candidate string, place int, value double")
 
 
+_LIKE = "list_cosine_similarity(embedding::double[], (SELECT embedding::double[] FROM embeddings WHERE vec_id = 0))"
+
+
+@query("audience_search", f"SELECT vec_id, round({_LIKE}, 6) AS score FROM embeddings WHERE label <> 1 AND {_LIKE} >= 0.1")
+def audience_search(spark, sf_dir):
+    """Members of an audience by the search policy; beyond 500,000 vectors the index finds them, audited for a recall of 0.95."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    index = vector_index.CellIndex.build(vectors, f"{scratch.new_folder(spark, 'index')}/cells", "vec_id")
+    query_vector = vectors.where("vec_id = 0").first()["embedding"]
+    found = vector_index.search(index, query_vector, 0.1, vectors.where("label <> 1"))
+    return found.members.select("vec_id", F.round("score", 6).alias("score"))
+
+
 @query("profile_array_match", with_raw(f"SELECT user_id, len(list_filter(hotel_market_values, lambda x: contains(x, '12') OR contains(x, '7'))) > 0 AS matched FROM ({_PROFILE})"))
 def profile_array_match(spark, sf_dir):
     return user_profiles(spark, sf_dir).select("user_id", predicates.profile_array_match(F.col("hotel_market_values"), ["12", "7"]).alias("matched"))
