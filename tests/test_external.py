@@ -24,6 +24,22 @@ def test_trips_hide_the_last_city(spark, tmp_path):
         external.trips(spark, str(tmp_path / "bad.csv"), external.Sampling())
 
 
+def test_equal_stays_keep_the_order_of_the_file(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("utrip_id,city_id,checkin,checkout\na,9,2020-01-01,2020-01-02\na,3,2020-01-01,2020-01-02\na,0,2020-01-01,2020-01-02\na,5,2020-01-01,2020-01-02\n")
+    (tmp_path / "truth.csv").write_text("utrip_id,city_id\na,7\n")
+    path = str(tmp_path / "t.csv")
+    assert external.trips(spark, path, external.Sampling()).first()["cities"] == ["9", "3", "0"]
+    assert external.trips(spark, path, external.Sampling(), str(tmp_path / "truth.csv")).first()["cities"] == ["9", "3", "5"]
+
+
+def test_fingerprints_do_not_depend_on_order():
+    a, b = {"segment_id": "s1", "audience_snapshot_id": "x"}, {"segment_id": "s2", "audience_snapshot_id": "w"}
+    assert policies.input_fingerprint([a, b]) == policies.input_fingerprint([b, a]) != policies.input_fingerprint([a])
+    assert policies.request_fingerprint("r", "d", None) != policies.request_fingerprint("r", "d", 7)
+    made = policies.execution_id("r", "f")
+    assert made.startswith("assign_exec_") and len(made) == 60
+
+
 def test_sessions_leave_outcomes_out(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "u.zip", "w") as z:
         z.writestr("train_users_2.csv", "id,country_destination,age,gender,affiliate_channel\nu1,FR,25,MALE,direct\nu2,NDF,x,FEMALE,seo\nu3,US,40,MALE,seo\n")

@@ -121,13 +121,13 @@ def training_cells(rows: DataFrame, most: int) -> DataFrame:
     return cells.orderBy(F.desc("event_count"), *keys).limit(most)
 
 
-def brier(results: DataFrame, predicted: Column, size: Column, successes: Column) -> DataFrame:
-    """Brier score, mean absolute error and bias of predicted rates over groups of users."""
+def brier(results: DataFrame, predicted: Column, size: Column, successes: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Brier score, mean absolute error and bias of predicted rates over groups of users, for each value of ``by`` if given."""
     p = F.least(F.greatest(predicted, F.lit(0.0)), F.lit(1.0))
     lost = F.greatest(size - successes, F.lit(0))
     error = F.sum(successes * (1 - p) * (1 - p) + lost * p * p)
     actual = successes / size
-    return results.agg(F.when(F.sum(size) > 0, error / F.sum(size)).otherwise(0.0).alias("brier"), F.avg(F.abs(p - actual)).alias("mae"), F.avg(p - actual).alias("bias"))
+    return results.groupBy(*by).agg(F.when(F.sum(size) > 0, error / F.sum(size)).otherwise(0.0).alias("brier"), F.avg(F.abs(p - actual)).alias("mae"), F.avg(p - actual).alias("bias"))
 
 
 def _tied(a: Column, b: Column) -> Column:

@@ -10,6 +10,9 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def canonical_hash(value: Any) -> str:
     """SHA-256 of a value's canonical JSON, so that equal specifications have equal hashes."""
@@ -21,6 +24,26 @@ def stable_id(prefix: str, *parts: str) -> str:
     return f"{prefix}_{uuid.uuid5(uuid.NAMESPACE_URL, ':'.join(parts)).hex}"
 
 
+def request_fingerprint(run: str, design: str, days: int | None) -> str:
+    """Of an assignment request, so that a repeated one is known."""
+    return canonical_hash({"promotion_run_id": run, "experiment_design_fingerprint": design, "expires_in_days": days})
+
+
+def input_fingerprint(bindings: Sequence[Mapping[str, Any]]) -> str:
+    """Of the audiences that an assignment reads, in whatever order they are given."""
+    return canonical_hash({"audience_bindings": sorted(map(dict, bindings), key=lambda b: (str(b.get("segment_id")), str(b.get("audience_snapshot_id"))))})
+
+
+def execution_id(run: str, request: str) -> str:
+    return "assign_exec_" + canonical_hash({"promotion_run_id": run, "request_fingerprint": request})[:48]
+
+
+def unit_ids(run: Column, user: Column) -> Column:
+    """Ids of experiment units: the hash of the run and user as canonical JSON."""
+    named = F.to_json(F.struct(run.cast("string").alias("promotion_run_id"), user.cast("string").alias("user_id")))
+    return F.concat(F.lit("adunit_"), F.substring(F.sha2(named, 256), 1, 56))
+
+
 # The least counts of an uplift validation.
 VALIDATION_MINIMA = {
     "completed_experiments": 20,

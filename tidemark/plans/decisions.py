@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..operators import audience_search as vector_index
 from ..operators import backtest, experiments, ledger, models, policies, predicates, profiles, query_vectors, uplift
 from ..sources import files, scratch
-from .analytics import _PROFILE, _UNITS, _WIDE, _units, user_profiles, wide_source
+from .analytics import _GROUPS, _PROFILE, _UNITS, _WIDE, _groups, _units, user_profiles, wide_source
 from .audience import with_raw
 
 QUERIES: dict = {}
@@ -202,6 +202,11 @@ def validation_gate(spark, sf_dir):
     return spark.createDataFrame([(f,) for f in failed], "rule string")
 
 
+@query("experiment_unit_ids", """SELECT c_custkey, 'adunit_' || substr(sha256('{"promotion_run_id":"run-1","user_id":"' || c_custkey || '"}'), 1, 56) AS unit FROM customer""")
+def experiment_unit_ids(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", policies.unit_ids(F.lit("run-1"), F.col("c_custkey")).alias("unit"))
+
+
 _PADS = [bytes(b ^ x for b in b"salt-1".ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
 _HMAC = f"sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode('plan-1' || chr(31) || c_mktsegment || chr(31) || c_custkey))))"
 
@@ -275,3 +280,10 @@ _TESTED = {"affinity": "destination_match_count >= 1", "season": "season_match_c
 def temporal_backtest(spark, sf_dir):
     found = backtest.temporal_backtest(_searches(spark, sf_dir), {name: F.expr(c) for name, c in _TESTED.items()}, "1994-01-01", "1997-01-01", "1999-01-01", 7, [6, 7, 8])
     return found.select("name", "users", "booked", "everyone", *(F.round(c, 6).alias(c) for c in ("actual", "baseline", "lift_pp")))
+
+
+@query("brier_by_type", f"{_GROUPS} SELECT (g % 2)::int AS kind, round(sum(won * (1 - predicted) * (1 - predicted) + (size - won) * predicted * predicted) / sum(size), 6) AS brier, round(avg(abs(predicted - won / size)), 6) AS mae, round(avg(predicted - won / size), 6) AS bias FROM g GROUP BY kind")
+def brier_by_type(spark, sf_dir):
+    rows = _groups(spark, sf_dir).withColumn("kind", (F.col("g") % 2).cast("int"))
+    found = backtest.brier(rows, F.col("predicted"), F.col("size"), F.col("won"), ["kind"])
+    return found.select("kind", *(F.round(c, 6).alias(c) for c in ("brier", "mae", "bias")))

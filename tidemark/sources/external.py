@@ -33,14 +33,17 @@ def trips(spark: SparkSession, path: str, sampling: Sampling, truth: str | None
 
     The last city of a trip is its outcome, unless a file with the true next
     cities is given; then all of the trip is observed.  A trip is ordered by
-    check-in and check-out, wherever its rows stand in the file.
+    check-in and check-out, equal stays by their place in the file.
     """
     rows = spark.read.option("header", True).csv(path)
     missing = {"utrip_id", "city_id", "checkin", "checkout"} - set(rows.columns)
     if missing:
         raise ValueError(f"{path} lacks {sorted(missing)}")
-    rows = rows.join(sampling.subjects(rows, "utrip_id"), "utrip_id", "left_semi").where(F.coalesce("city_id", F.lit("")) != "")
-    stays = rows.groupBy("utrip_id").agg(F.sort_array(F.collect_list(F.struct("checkin", "checkout", "city_id"))).alias("s"))
+    # where a row stands: its file, the block that a task read, and the place in it
+    rows = rows.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("_at"))
+    unknown = [""] if truth is None else ["", "0"]
+    rows = rows.join(sampling.subjects(rows, "utrip_id"), "utrip_id", "left_semi").where(~F.coalesce("city_id", F.lit("")).isin(unknown))
+    stays = rows.groupBy("utrip_id").agg(F.sort_array(F.collect_list(F.struct("checkin", "checkout", "_at", "city_id"))).alias("s"))
     cities = F.transform("s", lambda x: x["city_id"])
     if truth is None:
         n = F.size("s")
