@@ -185,6 +185,15 @@ def test_holdout_quota_and_hmac(spark):
     assert [r["arm"] for r in got if r["e"] == "e2"] == [None]
 
 
+def test_holdout_quota_of_an_exact_half_is_rounded_up(spark):
+    sizes = (5, 45, 85, 165, 645)
+    rows = spark.createDataFrame([(n, i) for n in sizes for i in range(n)], "e long, u long")
+    treated = experiments.holdout(rows, "e", "u", 0.7).groupBy("e").agg(F.count_if(F.col("arm") == "treatment").alias("t"), F.min("treatment_probability").alias("p"))
+    assert {r["e"]: (r["t"], r["p"]) for r in treated.collect()} == {n: ((7 * n + 5) // 10, (7 * n + 5) // 10 / n) for n in sizes}
+    nulls = experiments.holdout(spark.createDataFrame([(1, None), (1, 4), (1, 2)], "e long, u long"), "e", "u", 0.5).collect()
+    assert {r["u"]: r["arm"] for r in nulls} == {2: "treatment", 4: "treatment", None: "control"}
+
+
 def test_match_segments_reasons(spark):
     axis = lambda i: [1.0 if j == i else 0.0 for j in range(4)]
     users = spark.createDataFrame([(1, axis(0)), (2, [0.0] * 4), (3, axis(3)), (4, None)], "vec_id long, embedding array<double>")

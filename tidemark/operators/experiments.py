@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +31,13 @@ def holdout(members: DataFrame, experiment: str, user: str, ratio: float, salt:
 
     Of each experiment's users in HMAC order (id order without a salt) the first
     ``floor(n * ratio + 0.5)`` are treated, at least one and at most all but one;
-    the probability is the share that results.  Experiments of fewer than two
-    users have no arm.
+    the probability is the share that results.  A null comes last.  Experiments of fewer than two
+    users have no arm.  The ratio is the decimal that is written, not the double
+    next to it: 45 * 0.7 + 0.5 is 32, in doubles less.
     """
-    order = [F.col(user)] if salt is None else [hmac_key(salt, *(F.lit(c) for c in context), F.col(experiment), F.col(user)), F.col(user)]
-    ranked = group_rank(members, [experiment], order)
-    quota = F.least(F.greatest(F.floor(F.col("_n") * ratio + 0.5), F.lit(1)), F.col("_n") - 1)
+    keys = [] if salt is None else [hmac_key(salt, *(F.lit(c) for c in context), F.col(experiment), F.col(user))]
+    ranked = group_rank(members, [experiment], [k.asc_nulls_last() for k in (*keys, F.col(user))])
+    halves_up = F.floor(F.col("_n").cast("decimal(15,0)") * F.lit(Decimal(str(ratio))) + F.lit(Decimal("0.5"))).cast("long")
+    quota = F.least(F.greatest(halves_up, F.lit(1)), F.col("_n") - 1)
     arm = F.when(F.col("_n") >= 2, F.when(F.col("_rank") <= quota, "treatment").otherwise("control"))
     return ranked.withColumn("arm", arm).withColumn("treatment_probability", F.when(F.col("_n") >= 2, quota / F.col("_n"))).drop("_rank", "_n")
