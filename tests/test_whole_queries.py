@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
+from conftest import table
 
 from tidemark.plans import catalog
 
 
+def check_on(spark, folder, name, source):
+    """Asserts that a query and its SQL agree on a table of its own; the SQL runs on one thread, so that it adds in the order of the files."""
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"SET timezone = 'UTC'; CREATE VIEW {source} AS SELECT * FROM read_parquet('{folder}/{source}.parquet/*.parquet')")
+    df, found = catalog.QUERIES[name](spark, str(folder)), con.execute(catalog.ORACLES[name])
+    names = [d[0] for d in found.description]
+    assert sorted(df.columns) == sorted(names)
+    assert table(df.collect(), df.columns) == table(found.fetchall(), names)
+
+
 def test_range_join_takes_every_line_and_part(same):
     same(catalog.QUERIES["binned_range_join"], "SELECT l_orderkey, count(*) AS pairs FROM lineitem JOIN part ON p_partkey % 5 = l_linenumber AND l_quantity >= p_size AND l_quantity < p_size + 4 GROUP BY l_orderkey")
 
@@ -37,3 +49,10 @@ def test_case_order_returns_every_order_in_order(spark, sf_dir, duck):
     sql = "SELECT o_orderkey, o_orderpriority, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey ORDER BY CASE o_orderpriority WHEN '2-HIGH' THEN 0 WHEN '1-URGENT' THEN 1 ELSE 2 END, o_orderkey"
     found = [tuple(r) for r in catalog.QUERIES["case_order"](spark, sf_dir).collect()]
     assert found == duck.execute(sql).fetchall() and len({r[1] for r in found}) > 2
+
+
+def test_holdout_by_hmac_where_the_quota_is_an_exact_half_and_segments_are_null(spark, tmp_path):
+    rows = [(f"s{n}", n) for n in (5, 45, 85, 165)] + [(None, 12)]
+    keys = iter(range(1000))
+    spark.createDataFrame([(next(keys), s) for s, n in rows for _ in range(n)], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    check_on(spark, tmp_path, "holdout_hmac", "customer")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +14,12 @@ from .ranking import group_rank
 
 
 def hmac_key(salt: str, *parts: Column) -> Column:
-    """Hex HMAC-SHA256 of the parts joined by unit separators, by its definition over SHA-256."""
+    """Hex HMAC-SHA256 of the parts joined by unit separators, by its definition over SHA-256; null if a part is."""
     key = salt.encode()
     key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     inner, outer = (bytes(b ^ x for b in key) for x in (0x36, 0x5C))
-    message = F.concat_ws("\x1f", *(p.cast("string") for p in parts)).cast("binary")
+    known = reduce(lambda a, b: a & b, (p.isNotNull() for p in parts))
+    message = F.when(known, F.concat_ws("\x1f", *(p.cast("string") for p in parts))).cast("binary")
     first = F.unhex(F.sha2(F.concat(F.lit(inner), message), 256))
     return F.sha2(F.concat(F.lit(outer), first), 256)
 
