@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 import duckdb
 import numpy as np
 from conftest import table
+from pyspark.sql import functions as F
 
 from tidemark.plans import catalog
 
@@ -56,3 +59,21 @@ def test_holdout_by_hmac_where_the_quota_is_an_exact_half_and_segments_are_null(
     keys = iter(range(1000))
     spark.createDataFrame([(next(keys), s) for s, n in rows for _ in range(n)], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     check_on(spark, tmp_path, "holdout_hmac", "customer")
+
+
+def test_first_vectors_add_prices_in_order_and_round_as_their_sql(spark, tmp_path):
+    """Means on the half of the sixth decimal over four files, and a share of 41 / 640, whose product with 10^6 lies below the half."""
+    rng = np.random.default_rng(7)
+    at = datetime(2024, 1, 10)
+    for part in range(4):
+        ids = range(part * 2000 + 1, part * 2000 + 2001)
+        rows = [(i, at + timedelta(seconds=i), int(i % 250), "view", float(rng.integers(20000, 900000)) / 4000, '{"k": 10}') for i in ids if i % 50]
+        if part == 3:
+            ids = [i for i in range(10_000, 10_700) if i % 50][:640]
+            rows += [(i, at, 999, "signup" if n < 41 else "purchase", 1.0, '{"k": 3}') for n, i in enumerate(ids)]
+        folder = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1)
+        folder.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/parts/{part}")
+        (written,) = (tmp_path / "parts" / str(part)).glob("*.parquet")
+        (tmp_path / "events.parquet").mkdir(exist_ok=True)
+        written.rename(tmp_path / "events.parquet" / f"{part}.parquet")
+    check_on(spark, tmp_path, "behavior_vector_v1", "events")

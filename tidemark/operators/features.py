@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import signed_coordinate, stable_bucket
@@ -95,10 +95,12 @@ def behavior_vector_v2(events: DataFrame, window_end: datetime) -> DataFrame:
     return users.select("user_id", raw.alias("_raw")).select("user_id", unit(F.col("_raw")).alias("behavior_vector"))
 
 
-def behavior_vector_v1(events: DataFrame) -> DataFrame:
+def behavior_vector_v1(events: DataFrame, order: str = "event_id") -> DataFrame:
     """user_id and behavior_vector: shares of event names, of hashed sources, clusters, markets and pages, and some rates.
 
-    Buckets are by SHA-256, the portable hash of this library.
+    Buckets are by SHA-256, the portable hash of this library.  A user's prices
+    are added in the given order, so that their mean doesn't depend on how the
+    table is split: a running sum, of which the last is the largest.
     """
     ratio = lambda c: F.count_if(c) / F.count(F.lit(1))
     parts = [(name, n) for name, n in (("source", 4), ("hotel_cluster", 16), ("hotel_market", 16), ("page_path", 8))]
@@ -106,11 +108,13 @@ def behavior_vector_v1(events: DataFrame) -> DataFrame:
     for name, n in parts:
         staged = staged.withColumn(f"_{name}", F.when(F.col(name) != "", stable_bucket(F.col(name), n)))
     price = F.least(F.greatest(float_or_zero(F.col("price")) / 1_000_000.0, F.lit(0.0)), F.lit(1.0))
+    so_far = Window.partitionBy("user_id").orderBy(order, "_price").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    staged = staged.withColumn("_price", F.when(F.col("price") != "", price)).withColumn("_prices", F.sum("_price").over(so_far))
     rate = lambda a, b: F.when(F.count_if(is_event(b)) > 0, F.count_if(is_event(a)) / F.count_if(is_event(b))).otherwise(0.0)
     terms = [ratio(is_event(e)) for e in V1_EVENTS] + [ratio(~is_event(*V1_EVENTS))]
     terms += [ratio(F.col(f"_{name}") == i) for name, n in parts for i in range(n)]
     terms += [ratio(F.col(k) != "") for k in ("promotion_id", "ad_experiment_id", "segment_id")]
-    terms += [ratio(flag("free_cancellation")), ratio(flag("breakfast_included")), F.coalesce(F.avg(F.when(F.col("price") != "", price)), F.lit(0.0))]
+    terms += [ratio(flag("free_cancellation")), ratio(flag("breakfast_included")), F.coalesce(F.max("_prices") / F.count("_price"), F.lit(0.0))]
     terms += [rate("booking_complete", "booking_start"), rate("promotion_click", "promotion_impression")]
     return staged.groupBy("user_id").agg(F.array(*(t.cast("double") for t in terms)).alias("behavior_vector"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_bucket
-from ..functions.safe import ratio6
+from ..functions.safe import product_round6, ratio6
 from ..operators import backtest, beam, evaluation, features, profiles, ranking, uplift
 from ..operators.predicates import is_event
 from ..sources.event_log import raw_events, typed
@@ -96,7 +96,8 @@ def _v1_sql() -> str:
 
 @query("behavior_vector_v1", _v1_sql())
 def behavior_vector_v1(spark, sf_dir):
-    return features.behavior_vector_v1(scoped(spark, sf_dir)).select("user_id", rounded("behavior_vector").alias("behavior_vector"))
+    """Prices are added in the order of the files, as the SQL's ``avg`` does on one thread: a mean may lie on the half of the last decimal."""
+    return features.behavior_vector_v1(scoped(spark, sf_dir, placed=True), "_at").select("user_id", F.transform("behavior_vector", product_round6).alias("behavior_vector"))
 
 
 @query("signed_hash_buckets", with_raw("SELECT user_id, " + ", ".join(f"coalesce(sum(CASE WHEN ('0x' || substr(sha256(vector_destination), 17, 2))::int % 2 = 1 THEN -1.0 ELSE 1.0 END) FILTER (vector_destination <> '' AND ('0x' || substr(sha256(vector_destination), 16, 1))::int = {i}), 0)::double AS b{i}" for i in range(16)) + " FROM w GROUP BY user_id"))

@@ -30,9 +30,9 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scoped(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
     """The typed events of the observation window that were known at its end."""
-    return typed(window(raw_events(spark, sf_dir), START, END, END))
+    return typed(window(raw_events(spark, sf_dir, placed), START, END, END))
 
 
 def with_raw(select: str) -> str:

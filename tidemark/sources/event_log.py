@@ -21,9 +21,14 @@ def _case(by: Column, values: list[str]) -> Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), by + 1)
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """project_id, event_id, event_name, event_time, received_at, source, user_id, properties_json, validation_status."""
+def raw_events(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
+    """project_id, event_id, event_name, event_time, received_at, source, user_id, properties_json, validation_status.
+
+    If ``placed``, also ``_at``, the event's place in the table: its file and row there.
+    """
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    place = [F.struct("_metadata.file_path", "_metadata.row_index").alias("_at")] if placed else []
+    e = e.select("*", *place)
     k = F.get_json_object("props", "$.k").cast("int")
     kind, k_ = F.col("event_type"), F.col("k")
     part = lambda n: F.pmod(k_, F.lit(n))
@@ -64,6 +69,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("user_id"),
         F.to_json(F.create_map(*pairs)).alias("properties_json"),
         F.when(F.pmod("event_id", F.lit(50)) == 0, "invalid").otherwise("valid").alias("validation_status"),
+        *(["_at"] if placed else []),
     )
 
 
